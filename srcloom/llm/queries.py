@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import encoding, mixing, neighbours, splitting, tokens
+from srcloom.llm import docpairs, encoding, mixing, neighbours, provenance, secrets, splitting, tokens
 from srcloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,23 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = docpairs.doc_pairs(table(spark, d, "chunks"), with_code=False)
+    return pairs.where("doc_from = 'own'").select("repo_id", "file_path", "symbol_name", "start_line").distinct()
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.doc_pairs(table(spark, d, "chunks"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.provenance(table(spark, d, "chunks")).where("verdict != 'hand'").select("repo_id", "file_path")
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.provenance(table(spark, d, "chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vectors"), table(spark, d, "chunks"))
 
@@ -31,6 +48,15 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.select("chunk_id", F.transform("neighbours", lambda e: e["chunk_id"]).alias("near_ids"), F.transform("neighbours", lambda e: e["similarity"]).alias("similarities"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    s = secrets.secrets(table(spark, d, "chunks"))
+    return s.select("repo_id", "file_path", F.explode("lines").alias("line_no")).distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secrets(table(spark, d, "chunks"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id")
 
@@ -58,7 +84,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_pieces, p4_found, p4_neighbours, p8_ids, p9_mixture, p9_report, p10_found, p10_restored]
+    fs = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_files, p4_found, p4_neighbours, p7_found, p7_redacted, p8_ids, p9_mixture, p9_report, p10_found, p10_restored]
     return {f.__name__: f for f in fs}
 
 
