@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.runtime import cut
+from srcloom.runtime import cut, parallelism
 
 #: Code pages a text is commonly misread as, and written in.
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman", "iso8859_2", "gbk", "shift_jis", "big5")
@@ -261,7 +261,7 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     occurrences = cut(texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(_runs, "doc_id long, source string, before string, run string, after string"))
     types = occurrences.groupBy("source", *key).agg(F.count(F.lit(1)).alias("n"))
     all_types = occurrences.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    scored = all_types.repartition(*key).mapInPandas(_score(shared), "before string, run string, after string, swap string, reading string, gain double")
+    scored = all_types.repartition(parallelism(spark), *key).mapInPandas(_score(shared), "before string, run string, after string, swap string, reading string, gain double")
     cases = cut(types.join(scored, key))
     runs = types.groupBy("source").agg(F.sum("n").alias("runs"))
 

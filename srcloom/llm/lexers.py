@@ -436,6 +436,8 @@ class _Script:
                 word = m.group() if (m := _NAME.match(t, at)) else ""
                 if not (c in "`[*" and top["kind"] == "G") and word not in ("in", "instanceof") and not (word in ("as", "satisfies") and ts) and not (c == "{" and (class_head or prev in ("PR", "TYPE") and pending)) and not (c == "!" and t.startswith("!=", at)):
                     if prev != "GR":
+                        if top["stmt"] == "import" and prev in ("NAME", "OR") and word != "from":
+                            self.faults.append(("import without a source", line))
                         put("NL")
                         prev, operand = "NL", False
                     top["stmt"] = ""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import docpairs, encoding, mixing, neighbours, provenance, secrets, splitting, tokens
+from srcloom.llm import docpairs, encoding, mixing, neighbours, provenance, secrets, splitting, syntax, tokens
 from srcloom.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.select("chunk_id", F.transform("neighbours", lambda e: e["chunk_id"]).alias("near_ids"), F.transform("neighbours", lambda e: e["similarity"]).alias("similarities"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check_files(table(spark, d, "chunks")).select("repo_id", "file_path")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "chunks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     s = secrets.secrets(table(spark, d, "chunks"))
     return s.select("repo_id", "file_path", F.explode("lines").alias("line_no")).distinct()
@@ -84,7 +92,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_files, p4_found, p4_neighbours, p7_found, p7_redacted, p8_ids, p9_mixture, p9_report, p10_found, p10_restored]
+    fs = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_files, p4_found, p4_neighbours, p5_found, p5_rates, p7_found, p7_redacted, p8_ids, p9_mixture, p9_report, p10_found, p10_restored]
     return {f.__name__: f for f in fs}
 
 
