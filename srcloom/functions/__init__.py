@@ -1 +1 @@
-
+"""Column expressions; all stay inside the JVM."""

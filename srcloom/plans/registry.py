@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.plans import hierarchies
+from srcloom.plans import core, hierarchies
 
-_MODULES = (hierarchies,)
+_MODULES = (core, hierarchies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchies.p6_found(spark, sf_dir)
+    return core.impact_file_target(spark, sf_dir)
