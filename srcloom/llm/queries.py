@@ -98,7 +98,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     unit = """u AS (SELECT chunk_id, max(embedding)::DOUBLE[] AS e FROM vectors
-        WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x != 0)) > 0
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x != 0)) > 0
           AND chunk_id IN (SELECT chunk_id FROM chunks) GROUP BY chunk_id)"""
     return {
         "p1_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 1600",
