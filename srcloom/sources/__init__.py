@@ -1 +1 @@
-
+"""Data sources."""
