@@ -23,7 +23,7 @@ DIM = 64
 K = 10
 #: Vectors per list and per region block on average, and lists probed by a vector in an index
 #: of 384 lists; with the number of lists their number grows by the power GROWTH.
-LIST_SIZE, BLOCK_SIZE, PROBES, GROWTH = 512, 49_152, 28, 0.4
+LIST_SIZE, BLOCK_SIZE, PROBES, GROWTH = 512, 24_576, 28, 0.4
 #: The index is fitted on at most this many vectors and has at most this many lists.
 SAMPLE_ROWS, MOST_LISTS = 131_072, 8192
 #: Columns after which candidates are tested, and the width of the test in standard deviations.
@@ -155,7 +155,11 @@ def _scan_block(shared, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, home = table["id"].to_numpy(), table["home"].to_numpy()
-        v = np.frombuffer(b"".join(table["v"].to_pylist()), dtype=np.float16).reshape(len(ids), DIM).astype(np.float32)
+        sent = table["v"].combine_chunks()
+        sent = sent.chunk(0) if isinstance(sent, pa.ChunkedArray) else sent
+        begin = np.frombuffer(sent.buffers()[1], dtype=np.int32)[sent.offset]
+        v = np.frombuffer(sent.buffers()[2], dtype=np.float16, offset=int(begin), count=len(ids) * DIM).reshape(-1, DIM).astype(np.float32)
+        del sent
         probes = table["probes"].combine_chunks()
         probe_list, probe_query = probes.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(probes.offsets.to_numpy()))
         rests = [np.sqrt(np.maximum((v[:, b:] ** 2).sum(1), 0)) for b in COLUMN_BLOCKS]
@@ -176,10 +180,10 @@ def _scan_block(shared, k: int):
                 c = members.get(int(probe_list[part[0]]))
                 if c is None:
                     continue
-                for low in range(0, len(part), 2048):
-                    q = probe_query[part[low : low + 2048]]
-                    for at in range(0, len(c), 4096):
-                        cc = c[at : at + 4096]
+                for low in range(0, len(part), 1024):
+                    q = probe_query[part[low : low + 1024]]
+                    for at in range(0, len(c), 2048):
+                        cc = c[at : at + 2048]
                         if stage:
                             s = v[q] @ v[cc].T
                             s[ids[q][:, None] == ids[cc][None, :]] = -3
