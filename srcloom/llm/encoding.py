@@ -232,9 +232,9 @@ def _score(shared):
                 as_is = _log_p(table, total, before + text + after, len(before), n)
                 for h, t in found:
                     gain = _log_p(table, total, before + t + after, len(before), 0) - as_is
-                    if "utf_8" in h and len(text) > 1 and "gbk" not in h and "big5" not in h and "jis" not in h:
+                    if "utf_8" in h and h[:4] != "part" and len(text) > 1 and "gbk" not in h and "big5" not in h and "jis" not in h:
                         gain += UTF8_FORM
-                    elif "utf_8" not in h and gain > 0 and not (_plausible(before, text, t, after) and _attested(table, before[-1:] + t + after[:1])):
+                    elif ("utf_8" not in h or h[:4] == "part") and gain > 0 and not (_plausible(before, text, t, after) and _attested(table, before[-1:] + t + after[:1])):
                         continue  # a swap of single characters has no form of its own: its reading must be known text
                     if gain > 0:
                         out.append((before, text, after, h, t, gain))

@@ -66,31 +66,33 @@ pair: KEY : value
 #: Braces are told apart by what they hold: GL GR blocks and class bodies, OL OR objects and patterns.  TYPE is a
 #: whole type expression with the mark before it, GEN a type argument list, NL a line end that can end a statement.
 SCRIPT = """
-file: stmt * END
+file: stmt * final ? sep END
 end: ; | NL
 sep: end *
 stmt: sep body sep
-block: GL stmt * sep GR
-body: expr end | expr | block | ; | decl | flow | module | classdef
-decl: ( const | let | var ) bind ( , bind ) * end ?
-bind: target TYPE ? ( = expr ) ?
+block: GL stmt * final ? sep GR
+body: simple end | block | ; | flow | func | classdef
+simple: expr | decl | return expr ? | throw expr | break NAME ? | continue NAME ? | debugger | module | TYPE | do stmt while PL expr PR
+decl: ( const | let | var ) bind ( , bind ) *
+bind: target TYPE ? ( = assign ) ?
 target: NAME | OL fields ? OR | BL elems ? BR
-flow: if PL expr PR stmt ( else stmt ) ? | else stmt | for await ? PL forhead PR stmt | while PL expr PR stmt | do stmt while PL expr PR end ? | return expr ? end ? | throw expr end ?
-flow: break NAME ? end ? | continue NAME ? end ? | switch PL expr PR GL branch * GR | try block | catch ( PL target TYPE ? PR ) ? block | finally block | debugger end ? | NAME LAB stmt
-branch: ( case expr LAB | default LAB ) stmt *
+flow: if PL expr PR stmt ( else stmt ) ? | else stmt | for await ? PL forhead PR stmt | while PL expr PR stmt | do stmt while PL expr PR
+flow: switch PL expr PR GL branch * GR | try block | catch ( PL target TYPE ? PR ) ? block | finally block | NAME LAB stmt | export ( func | classdef ) | export default ( func | classdef )
+final: simple | if PL expr PR ( stmt else ) ? final | else final | for await ? PL forhead PR final | while PL expr PR final | NAME LAB final
+branch: ( case expr LAB | default LAB ) stmt * final ? sep
 forhead: ( const | let | var ) ? target TYPE ? ( of | in ) expr | decl ? ; expr ? ; expr ? | expr ? ; expr ? ; expr ?
-module: import STR end ? | import import_list from STR end ? | export ( decl | classdef | func | stmt ) | export default expr end ? | export default ( func | classdef ) | export OL fields ? OR ( from STR ) ? end ? | export * ( as NAME ) ? from STR end ?
-import_list: TYPEWORD ? ( NAME | NAME , OL fields ? OR | OL fields ? OR | * as NAME | NAME , * as NAME )
-module: export TYPE end ? | TYPE end ?
-classdef: deco * abstract ? class NAME ? GEN ? ( extends primary GEN ? ) ? TYPE ? GL sep member * sep GR
-deco: @ primary sep
-member: deco * MOD * * ? key TYPE ? ( = expr ) ? end * | deco * MOD * * ? key GEN ? params TYPE ? ( block | end ) sep | static block sep | ;
+module: import STR | import import_list from STR | export decl | export default assign | export OL fields ? OR ( from STR ) ? | export STAR ( as NAME ) ? from STR | export TYPE | export TYPEWORD OL fields ? OR ( from STR ) ?
+import_list: TYPEWORD ? ( NAME | NAME , OL fields ? OR | OL fields ? OR | STAR as NAME | NAME , STAR as NAME )
+classdef: deco * abstract ? class NAME ? GEN ? ( extends primary GEN ? ) ? TYPE ? GL sep member * field1 ? sep GR
+deco: @ args ? sep
+member: field1 end sep | deco * MOD * STAR ? key GEN ? params TYPE ? ( block | end ) sep | static block sep | end
+field1: deco * MOD * STAR ? key TYPE ? ( = assign ) ?
 key: NAME | STR | NUM | BL expr BR
-func: async ? function * ? NAME ? GEN ? params TYPE ? ( block | end )
+func: async ? function STAR ? NAME ? GEN ? params TYPE ? ( block | end )
 params: PL ( param ( , param ) * , ? ) ? PR
 param: deco * MOD * ( ... ) ? target TYPE ? ( = expr ) ?
 expr: assign ( , assign ) *
-assign: cond | target ASG assign | cond ASG assign | cond = assign | target = assign | arrow | yield * ? assign ?
+assign: cond | target ASG assign | cond ASG assign | cond = assign | target = assign | arrow | yield STAR ? assign ?
 arrow: async ? ( NAME | GEN ? params TYPE ? ) => ( block | assign )
 cond: bin ( ? assign TERN assign ) ?
 bin: unary ( op unary ) * | bin TYPE
@@ -105,7 +107,7 @@ atom: NAME | CONST | NUM | STR | TPL | RE | JSX | PL expr PR | BL elems ? BR | O
 elems: ( , ) * elem ( , + elem ) * ( , ) *
 elem: ( ... ) ? assign
 fields: field ( , field ) * , ?
-field: ... assign | NAME | TYPEWORD NAME | ( NAME | CONST ) as ( NAME | default ) | default as NAME | NAME = assign | fkey : assign | MOD * * ? fkey GEN ? params TYPE ? block | NAME as STR
+field: ... assign | NAME | TYPEWORD NAME | ( NAME | CONST ) as ( NAME | default ) | default as NAME | NAME = assign | fkey : assign | MOD * STAR ? fkey GEN ? params TYPE ? block | NAME as STR
 fkey: NAME | STR | NUM | BL expr BR | CONST
 """
 
@@ -143,7 +145,7 @@ def _alternatives(words: list[str], at: int = 0, depth: int = 0):
 
 def _starred(words: list[str], at: int) -> bool:
     """Whether a * is a token: after an opening, a bar, a comma or an operator mark."""
-    return words[at - 1] in ("(", "|", ",", "import", "except", "yield", "function", "export") or at == 0
+    return words[at - 1] in ("(", "|", ",", "except") or at == 0
 
 
 def _analyse(text: str) -> set[tuple[str, str]]:

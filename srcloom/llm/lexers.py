@@ -12,11 +12,12 @@ Sequences = list[list[tuple[str, int]]]
 
 _PY_KEYWORDS = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _PY = re.compile(
-    r"(?P<space>[ \t\f]+|\\\r?\n)|(?P<comment>#[^\n]*)|(?P<nl>\r?\n|\r)"
+    r"[ \t\f]*(?:(?P<name>(?![rRbBuUfFtT]{1,2}[\"'])[^\W\d]\w*)|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|:=|->|[+\-*/%&|^@=!<>]=|\*\*|//|<<|>>|[-+*/%&|^~<>@=,:;()\[\]{}]|\.(?!\d))|(?P<nl>\r?\n|\r)"
     r"|(?P<str>(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))"
     r"|(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w]))"
-    r"|(?P<name>[^\W\d]\w*)|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|:=|->|[+\-*/%&|^@=!<>]=|\*\*|//|<<|>>|[-+*/%&|^~<>@=.,:;()\[\]{}])"
+    r"|(?P<comment>#[^\n]*)|(?P<join>\\\r?\n)|(?P<end>\Z))"
 )
+_PY_BLANK = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?(?:\r?\n|\r))*")
 _PY_OP = {"(": "PL", ")": "PR", "[": "BL", "]": "BR", "{": "CL", "}": "CR", "...": "ELL", "->": "ARROW", "+": "UN", "-": "UN", "~": "UN"}
 for _o in "/ // % < > <= >= == != & | ^ << >>".split():
     _PY_OP[_o] = "BIN"
@@ -36,21 +37,28 @@ def lex_python(text: str, suffix: str = "py") -> tuple[Sequences, list, list]:
     if text.startswith("﻿"):
         at = 1
     while at < size:
+        if begin and depth == 0:
+            m = _PY_BLANK.match(text, at)
+            if m.end() > at:
+                line += text.count("\n", at, m.end())
+                at = m.end()
         m = _PY.match(text, at)
         if not m:
             faults.append(("character or unfinished literal", line))
-            at, line = text.find("\n", at), line
+            at = text.find("\n", at)
             if at < 0:
                 break
             continue
-        kind, s = m.lastgroup, m.group()
-        if begin and kind in ("space", "comment", "nl") and depth == 0:
-            if kind == "nl":
-                line += 1
-            elif kind == "space" and s[0] == "\\":
-                line += 1
+        kind = m.lastgroup
+        s = m.group(kind)
+        if kind == "end" or begin and depth == 0 and kind == "comment":
+            at = max(m.end(), at + 1)
+            continue
+        if kind == "join":
+            line += 1
             at = m.end()
             continue
+        at = m.start(kind)
         if begin and depth == 0:
             width = len(text[text.rfind("\n", 0, at) + 1 : at].replace("\f", "").expandtabs(8).lstrip("﻿"))
             if width > indents[-1]:
@@ -102,8 +110,6 @@ def lex_python(text: str, suffix: str = "py") -> tuple[Sequences, list, list]:
                 else:
                     out.append(("HNL" if header and colons <= 0 else "NL", line - 1))
                 begin = True
-        elif kind == "space":
-            line += s[0] == "\\"
         elif kind == "str":
             if s[0] in "bB" and not s.isascii():
                 faults.append(("character", line))
@@ -183,7 +189,10 @@ _JS_STR = re.compile(r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
 _JS_RE = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*(?![\w$])")
 _JS_OP = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^!~<>=?:;,.(){}\[\]@]")
 _GAP = re.compile(r"(?:[ \t\f\v\xa0﻿]+|//[^\n]*|/\*[\s\S]*?\*/|(\r?\n|\r| ))")
+_DECORATOR = re.compile(r"@\s*[\w$]+(?:\s*\.\s*[\w$]+)*")
 _JS_KEYWORDS = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return switch throw try typeof var void while with yield await".split())
+#: Words that can be more than a name.
+_SPECIAL = _JS_KEYWORDS | frozenset("null true false of from as satisfies async get set static type public private protected readonly override abstract declare accessor interface enum namespace module implements".split())
 _OPERAND = frozenset("NAME CONST NUM STR TPL RE JSX PR BR OR BANG INC TYPE GEN".split())
 _BINARY = frozenset("* / % ** < > <= >= == != === !== && || ?? & | ^ << >> >>> instanceof".split())
 _ASSIGN = frozenset("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
@@ -424,11 +433,20 @@ class _Script:
             out.append((c, line))
 
         while True:
-            at, new = self.gap(at)
-            if at >= end:
-                break
-            line += t.count("\n", seen, at)
-            seen = at
+            c = t[at : at + 1]
+            if c == " ":
+                at += 1
+                c = t[at : at + 1]
+            if "!" <= c <= "~" and c != "/":
+                new = False
+                if at >= end:
+                    break
+            else:
+                at, new = self.gap(at)
+                if at >= end:
+                    break
+                line += t.count("\n", seen, at)
+                seen = at
             prev, top = out[-1][0], stack[-1]
             c = t[at]
             operand = prev in _OPERAND or prev == "GR" and top["kind"] not in ("G", "C")
@@ -446,12 +464,13 @@ class _Script:
                 top["stmt"] = ""
             if m := _NAME.match(t, at):
                 w, after = m.group(), m.end()
-                nxt, _ = self.gap(after)
+                if prev in (".", "?.") or w not in _SPECIAL and (top["kind"] in ("PL", "BL") or top["kind"] == "G" and not starts and prev not in ("else", "do", "export", "GR", "declare", "default")):
+                    at = after
+                    out.append(("NAME", line))
+                    continue
+                nxt = after + 1 if t[after : after + 1] == " " and "!" <= t[after + 1 : after + 2] <= "~" and t[after + 1] != "/" else after if "!" <= t[after : after + 1] <= "~" and t[after] != "/" else self.gap(after)[0]
                 n1, n2 = t[nxt : nxt + 1], t[nxt : nxt + 2]
                 at = after
-                if prev in (".", "?."):
-                    put("NAME")
-                    continue
                 if top["kind"] == "O":
                     if w in ("get", "set", "async", "static") and prev in ("OL", ",") and (n1.isalnum() or n1 in "_$[\"'*#"):
                         put("MOD")
@@ -461,12 +480,12 @@ class _Script:
                         put("TYPEWORD")
                     elif w == "default" and top["stmt"] in ("import", "export"):
                         put("default")
-                    elif prev in ("OL", ",", "MOD", "*") and (n1 in (":", "(", ",", "}") or n1 == "=" and n2 != "=="):
+                    elif prev in ("OL", ",", "MOD", "STAR") and (n1 in (":", "(", ",", "}") or n1 == "=" and n2 != "=="):
                         put("NAME")
                     else:
                         self.word(w, put, top, n1, t, nxt, operand)
                     continue
-                if top["kind"] == "C" and not operand and prev in ("GL", "GR", ";", "NL", "MOD", "PR", "NAME", "@", "BR", "*") and (n1 in ("(", "=", ":", ";", "}", "?", "!", "<") and not (w in ("static",) and n1 == "{")):
+                if top["kind"] == "C" and not operand and prev in ("GL", "GR", ";", "NL", "MOD", "PR", "NAME", "@", "BR", "STAR") and (n1 in ("(", "=", ":", ";", "}", "?", "!", "<") and not (w in ("static",) and n1 == "{")):
                     put("NAME")
                     top["stmt"] = "member"
                     continue
@@ -476,7 +495,7 @@ class _Script:
                 if ts and top["kind"] == "PL" and prev in ("PL", ",", "MOD", "PR") and w in ("public", "private", "protected", "readonly", "override") and (n1.isalpha() or n1 in "_$"):
                     put("MOD")
                     continue
-                if ts and operand and w in ("as", "satisfies") and not (top["stmt"] in ("import", "export") and top["kind"] == "G" and prev == "*"):
+                if ts and operand and w in ("as", "satisfies") and not (top["stmt"] in ("import", "export") and top["kind"] == "G" and prev == "STAR"):
                     e = self.type(after) if not t.startswith("const", nxt) else nxt + 5
                     if e < 0:
                         self.faults.append(("type", line))
@@ -597,6 +616,10 @@ class _Script:
                     put("JSX")
                     at = e
                     continue
+            if c == "@" and (m := _DECORATOR.match(t, at)):
+                put("@")
+                at = m.end()
+                continue
             m = _JS_OP.match(t, at)
             if not m:
                 if at == 0 and t.startswith("#!"):
@@ -694,7 +717,7 @@ class _Script:
             elif s in _ASSIGN:
                 put("ASG")
             elif s == "*":
-                put("BIN" if operand and top["kind"] != "C" else "*")
+                put("BIN" if operand and top["kind"] != "C" else "STAR")
             elif s in _BINARY:
                 put("BIN")
             else:

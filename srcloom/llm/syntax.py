@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from srcloom.llm.files import SUFFIX_LANGUAGE, assemble, suffix
 from srcloom.llm.grammar import permissible
 from srcloom.llm.lexers import LEXERS
+from srcloom.runtime import cut
 
 _CLOSES = {"PR": "PL", "BR": "BL", "CR": "CL", "OR": "OL", "GR": "GL"}
 _OPENS = set(_CLOSES.values())
@@ -55,7 +56,7 @@ def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     pairs.setdefault((a, b), line)
                 inner = seq[1:-1] if seq[0][0] == "PL" else seq
                 out += [(*key, "nest", n, k, c, None, line) for k, (c, line) in enumerate(_residue(inner))]
-            out += [(*key, "pair", 0, 0, f"{language} {a}", b, line) for (a, b), line in pairs.items() if (a, b) != ("START", "END")]
+            out += [(*key, "pair", 0, 0, f"{language} {a}", b, line) for (a, b), line in pairs.items() if (a, b) != ("START", "END") or language == "json"]
             for n, chain in enumerate(chains):
                 out += [(*key, "chain", n, k, head, None, line) for k, (head, line) in enumerate(chain)]
             out += [(*key, "fault", 0, 0, what, None, line) for what, line in faults]
@@ -65,7 +66,7 @@ def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def faults(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, fault, line) of files (repo_id, file_path, text): every fault found."""
     spark = files.sparkSession
-    rows = files.mapInPandas(_lex, _ROWS)
+    rows = cut(files.mapInPandas(_lex, _ROWS))  # read four times below
     table = spark.createDataFrame([(f"{g} {a}", b) for g in ("python", "json", "script") for a, b in sorted(permissible(g))], "a string, b string")
     key = ["repo_id", "file_path"]
     # The permissible pairs follow from the grammars alone: a few thousand rows.
