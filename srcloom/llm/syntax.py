@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,30 +43,50 @@ def _residue(tokens: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return left
 
 
-def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for repo, path, text in zip(pdf["repo_id"], pdf["file_path"], pdf["text"], strict=True):
-            lexer, language = LEXERS[path.rpartition(".")[2].lower()]
-            sequences, chains, faults = lexer(text, path.rpartition(".")[2].lower())
-            key = (repo, path)
-            pairs: dict[tuple[str, str], int] = {}
-            for n, seq in enumerate(sequences):
-                for (a, _), (b, line) in zip(seq, seq[1:], strict=False):
-                    pairs.setdefault((a, b), line)
-                inner = seq[1:-1] if seq[0][0] == "PL" else seq
-                out += [(*key, "nest", n, k, c, None, line) for k, (c, line) in enumerate(_residue(inner))]
-            out += [(*key, "pair", 0, 0, f"{language} {a}", b, line) for (a, b), line in pairs.items() if (a, b) != ("START", "END") or language == "json"]
-            for n, chain in enumerate(chains):
-                out += [(*key, "chain", n, k, head, None, line) for k, (head, line) in enumerate(chain)]
-            out += [(*key, "fault", 0, 0, what, None, line) for what, line in faults]
-        yield pd.DataFrame(out, columns=["repo_id", "file_path", "kind", "seq", "pos", "a", "b", "line"])
+def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for low in range(0, len(paths), 256):
+            words: dict[str | None, int] = {None: 0}
+            number = lambda w, words=words: words.setdefault(w, len(words))
+            file, kind, seq, pos, a, b, line = ([] for _ in range(7))
+            for n in range(low, min(low + 256, len(paths))):
+                suffix_ = paths[n].rpartition(".")[2].lower()
+                lexer, language = LEXERS[suffix_]
+                sequences, chains, wrong = lexer(texts[n], suffix_)
+                rows: list[tuple] = []
+                pairs: dict[tuple[str, str], int] = {}
+                for k, tokens in enumerate(sequences):
+                    classes, lines = zip(*tokens, strict=True)
+                    for pair, at in zip(zip(classes, classes[1:], strict=False), lines[1:], strict=False):
+                        if pair not in pairs:
+                            pairs[pair] = at
+                    inner = tokens[1:-1] if classes[0] == "PL" else tokens
+                    rows += [("nest", k, i, c, None, at) for i, (c, at) in enumerate(_residue(inner))]
+                rows += [("pair", 0, 0, f"{language} {x}", y, at) for (x, y), at in pairs.items() if (x, y) != ("START", "END") or language == "json"]
+                rows += [("chain", k, i, head, None, at) for k, chain in enumerate(chains) for i, (head, at) in enumerate(chain)]
+                rows += [("fault", 0, 0, what, None, at) for what, at in wrong]
+                file += [n] * len(rows)
+                for what, k, i, x, y, at in rows:
+                    kind.append(number(what))
+                    seq.append(k)
+                    pos.append(i)
+                    a.append(number(x))
+                    b.append(number(y))
+                    line.append(at)
+            vocabulary = pa.array(list(words), pa.string())
+            named = lambda ids, vocabulary=vocabulary: vocabulary.take(pa.array(ids, pa.int32()))
+            at = pa.array(file, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), named(kind), pa.array(seq, pa.int32()), pa.array(pos, pa.int32()), named(a), named(b), pa.array(line, pa.int32())],
+                ["repo_id", "file_path", "kind", "seq", "pos", "a", "b", "line"],
+            )
 
 
 def faults(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, fault, line) of files (repo_id, file_path, text): every fault found."""
     spark = files.sparkSession
-    rows = cut(files.mapInPandas(_lex, _ROWS))  # read four times below
+    rows = cut(files.select("repo_id", "file_path", "text").mapInArrow(_lex, _ROWS))  # read four times below
     table = spark.createDataFrame([(f"{g} {a}", b) for g in ("python", "json", "script") for a, b in sorted(permissible(g))], "a string, b string")
     key = ["repo_id", "file_path"]
     # The permissible pairs follow from the grammars alone: a few thousand rows.
