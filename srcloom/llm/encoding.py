@@ -205,10 +205,10 @@ def _log_p(table: np.ndarray, total: float, text: str, start: int, less: int) ->
     return float(np.log(p3).sum())
 
 
-def _attested(table: np.ndarray, text: str) -> bool:
-    """Whether most three-letter windows of the text occur in the corpus."""
+def _attested(table: np.ndarray, text: str, n: int) -> bool:
+    """Whether most three-letter windows of the text occur in the corpus, at least as often as the run it is to replace."""
     codes = _codes(text)
-    return float((table[_slots(3, codes[:-2], codes[1:-1], codes[2:])].min(axis=0) > 0).mean()) >= 0.6
+    return float((table[_slots(3, codes[:-2], codes[1:-1], codes[2:])].min(axis=0) >= n).mean()) >= 0.6
 
 
 def _plausible(before: str, run: str, text: str, after: str) -> bool:
@@ -231,10 +231,12 @@ def _score(shared):
                     continue
                 as_is = _log_p(table, total, before + text + after, len(before), n)
                 for h, t in found:
-                    gain = _log_p(table, total, before + t + after, len(before), 0) - as_is
+                    gain = _log_p(table, total, before + t + after, len(before), n) - as_is
                     if "utf_8" in h and h[:4] != "part" and len(text) > 1 and "gbk" not in h and "big5" not in h and "jis" not in h:
                         gain += UTF8_FORM
-                    elif ("utf_8" not in h or h[:4] == "part") and gain > 0 and not (_plausible(before, text, t, after) and _attested(table, before[-1:] + t + after[:1])):
+                    elif "utf_8" in h and h[:4] != "part" and len(text) == 1 and gain < 12 and not _attested(table, before[-1:] + t + after[:1], n):
+                        continue  # one character of a double-byte page: any will give some letter
+                    elif ("utf_8" not in h or h[:4] == "part") and gain > 0 and not (_plausible(before, text, t, after) and _attested(table, before[-1:] + t + after[:1], n)):
                         continue  # a swap of single characters has no form of its own: its reading must be known text
                     if gain > 0:
                         out.append((before, text, after, h, t, gain))
