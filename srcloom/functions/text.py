@@ -41,6 +41,9 @@ def cli_snippet(content: Column) -> Column:
     return F.regexp_replace(F.substring(snippet(content), 1, CLI_SNIPPET_CHARS), r"^[\s\x1c-\x1f\u0085\p{Z}]+|[\s\x1c-\x1f\u0085\p{Z}]+$", "")
 
 
+# The formats of prompts and their blocks.
+
+
 def prompt_block(rank: Column, path: Column, start: Column, end: Column, content: Column) -> Column:
     return F.format_string("[%d] File: %s (lines %d–%d)\n```\n%s\n```", rank, path, start, end, F.substring(content, 1, PROMPT_CHARS))
 
