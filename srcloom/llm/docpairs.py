@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,9 +56,9 @@ def words(doc: str) -> int:
     return n
 
 
-def _mask(pattern: re.Pattern, text: str) -> tuple[str, list[tuple[int, int]]]:
-    """The text with literals and comments blanked, places kept; and the spans of /** */ comments."""
-    parts, at, docs = [], 0, []
+def _mask(pattern: re.Pattern, text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """The text with literals and comments blanked, places kept; the spans of /** */ comments; the line breaks inside literals."""
+    parts, at, docs, inside = [], 0, [], []
     for m in pattern.finditer(text):
         a, b = m.span(1) if pattern is _JS_MASK and m.group(1) else m.span()
         s = text[a:b]
@@ -65,8 +66,10 @@ def _mask(pattern: re.Pattern, text: str) -> tuple[str, list[tuple[int, int]]]:
             docs.append((a, b))
         mark = " " if s[0] == "#" or s[:2] in ("//", "/*") else "_"
         parts += [text[at:a], "\n".join(mark * len(x) for x in s.split("\n")) if "\n" in s else mark * len(s)]
+        if mark == "_" and "\n" in s:
+            inside += [a + k for k, c in enumerate(s) if c == "\n"]
         at = b
-    return "".join(parts) + text[at:], docs
+    return "".join(parts) + text[at:], docs, inside
 
 
 _BRACKET = re.compile(r"[()\[\]{}]")
@@ -82,6 +85,55 @@ def _close(masked: str, at: int, limit: int = 20_000) -> int:
     return -1
 
 
+def _closes(masked: str) -> dict[int, int]:
+    """Position behind the closing bracket of every bracket that is closed."""
+    stack, out = [], {}
+    for m in _BRACKET.finditer(masked):
+        if m.group() in "([{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
+
+
+def _starts(masked: str, inside: list[int]) -> list[tuple[int, int]]:
+    """(place, indentation) of the logical lines of a Python file that hold code."""
+    joined = set(inside)
+    at = 0
+    for a, b in sorted(_closes(masked).items()):
+        if b > at:
+            at = max(a, at)
+            while 0 <= (at := masked.find("\n", at, b)):
+                joined.add(at)
+                at += 1
+            at = b
+    out = []
+    for m in re.finditer(r"^[ \t\f]*(?=\S)", masked, re.M):
+        if m.start() - 1 not in joined and not masked.endswith(("\\\n", "\\\r\n"), 0, m.start()):
+            out.append((m.start(), len(m.group().rpartition("\f")[2].expandtabs())))
+    return out
+
+
+def _python_end(text: str, masked: str, starts: list[tuple[int, int]], head: int, width: int) -> int:
+    """Position behind the last line of a function's body, comments of its indentation included."""
+    k = bisect_left(starts, (head, 0))
+    while k < len(starts) and starts[k][1] > width:
+        k += 1
+    stop = starts[k][0] if k < len(starts) else len(text)
+    end = text.find("\n", head + len(masked[head:stop].rstrip()))
+    end = at = len(text) if end < 0 else end
+    while at < stop:
+        line_end = text.find("\n", at + 1)
+        line_end = len(text) if line_end < 0 else line_end
+        line = text[at + 1 : line_end]
+        if line.strip():
+            if len(line.expandtabs()) - len(line.expandtabs().lstrip()) <= width:
+                break
+            end = line_end
+        at = line_end
+    return end
+
+
 def _angle(masked: str, at: int) -> int:
     """Position behind a type parameter list at at."""
     if not masked.startswith("<", at):
@@ -96,7 +148,8 @@ def _angle(masked: str, at: int) -> int:
 
 def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     """Functions (name, line, kind, class, doc, start, end) and classes (name, bases) of a Python file."""
-    masked, _ = _mask(_PY_MASK, text)
+    masked, _, inside = _mask(_PY_MASK, text)
+    starts = _starts(masked, inside)
     functions, classes, stack = [], [], []
     found = list(_PY_DEF.finditer(masked))
     for m in found:
@@ -134,12 +187,70 @@ def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
                         doc = ast.literal_eval(lit.group())
                     except (SyntaxError, ValueError):
                         pass
-        body = re.compile(r"^(?![ \t]{%d,}\S|\s*$)" % (len(m.group(1)) + 1), re.M).search(masked, masked.find("\n", head) + 1 or len(text))
-        functions.append((m.group(3), text.count("\n", 0, name_at) + 1, "method" if owner else "function", owner, doc, m.start(), body.start() if body else len(text)))
+        functions.append((m.group(3), text.count("\n", 0, name_at) + 1, "method" if owner else "function", owner, doc, m.start(), _python_end(text, masked, starts, head, width)))
     return functions, classes
 
 
-def _js_target(masked: str, at: int) -> tuple[str, int, int, str] | None:
+_TYPE_PART = re.compile(r"=>|[(\[{<;})\],]")
+#: What a type goes on after: a brace behind it belongs to the type.
+_TYPE_OPEN = re.compile(r"(?:[:|&?]|=>|\b(?:is|extends|keyof|readonly|asserts|infer))\s*$")
+_PARAMETERS = re.compile(r"\s*(?:\)|\.\.\.|[\w$]+\s*\??\s*:|[{\[][^{}\[\]]*[}\]]\s*:)")
+_GOES_ON = re.compile(r"\s*(?:[.?:+\-*/%=&|<>,(\[^]|!=|(?:in|instanceof|as|satisfies)\b)")
+_OPEN_END = re.compile(r"(?:[.?:+\-*/%=&|<,^!~]|=>|\b(?:await|new|typeof|void|in|instanceof|as|return|delete))$")
+
+
+def _behind_type(masked: str, at: int, closes: dict[int, int]) -> tuple[str, int] | None:
+    """('{' or '=>', its place) that follows a parameter list and its return type, if any."""
+    at = re.compile(r"\s*").match(masked, at).end()
+    if not masked.startswith(":", at):
+        return ("{", at) if masked.startswith("{", at) else ("=>", at) if masked.startswith("=>", at) else None
+    begin = at
+    while m := _TYPE_PART.search(masked, at):
+        mark, a = m.group(), m.start()
+        opens = _TYPE_OPEN.search(masked, max(begin, a - 40), a)
+        if mark == "=>" or mark == "{" and not opens:
+            return mark, a
+        if mark == "<":
+            at = _angle(masked, a)
+            if at == a:
+                return None
+        elif mark in "([{":
+            at = closes.get(a, -1)
+            if at < 0:
+                return None
+            # Parameters where a type begins are those of a function type.
+            if mark == "(" and opens and _PARAMETERS.match(masked, a + 1) and (arrow := re.compile(r"\s*=>").match(masked, at)):
+                at = arrow.end()
+        else:
+            return None
+    return None
+
+
+def _expression_end(text: str, masked: str, at: int, closes: dict[int, int], inside: set[int]) -> int:
+    """Position behind the expression that begins at at."""
+    begin = at = re.compile(r"\s*").match(masked, at).end()
+    markup = masked.startswith("<", at)
+    while m := re.compile(r"[(\[{)\]};,\n]").search(masked, at):
+        a = m.start()
+        if m.group() in "([{":
+            at = closes.get(a, len(masked))
+            continue
+        if m.group() != "\n":
+            return len(masked[begin:a].rstrip()) + begin
+        at = a + 1
+        before = masked[max(begin, a - 200) : a].rstrip()
+        if a in inside or _OPEN_END.search(before) or markup and before.endswith(">"):
+            continue
+        if not before and not masked[begin:a].strip() or _GOES_ON.match(masked, at):
+            continue
+        following = re.compile(r"\s*").match(masked, at).end()
+        if text.startswith("`", following):
+            continue
+        return len(masked[begin:a].rstrip()) + begin
+    return len(masked.rstrip())
+
+
+def _js_target(masked: str, at: int, closes: dict[int, int]) -> tuple[str, int, int, str] | None:
     """(name, place of the name, place of the body, kind) of a function that begins on the line at at."""
     if m := _JS_FUNC.match(masked, at):
         kind, name, at_name, p = "function", m.group(1), m.start(1), _angle(masked, m.end())
@@ -148,24 +259,27 @@ def _js_target(masked: str, at: int) -> tuple[str, int, int, str] | None:
         if m.group(3).endswith("=>"):
             return name, at_name, m.end(), "function"
         if m.group(3):
-            p = re.compile(r"\s*\*?\s*[\w$]*\s*").match(masked, m.end()).end()
-            return (name, at_name, p, "function") if masked.startswith("(", _angle(masked, p)) else None
+            p = _angle(masked, re.compile(r"\s*\*?\s*[\w$]*\s*").match(masked, m.end()).end())
+            if not masked.startswith("(", p):
+                return None
+            behind = _behind_type(masked, closes.get(p, p), closes)
+            return name, at_name, behind[1] if behind else p, "function"
         p = _close(masked, _angle(masked, m.end()))
-        return (name, at_name, p, "function") if p > 0 and re.compile(r"\s*(?::[^;]*?)?=>").match(masked, p) else None
+        behind = _behind_type(masked, p, closes) if p > 0 else None
+        return (name, at_name, behind[1] + 2, "function") if behind and behind[0] == "=>" else None
     elif (m := _JS_METHOD.match(masked, at)) and m.group(1) not in _NOT_METHOD:
         kind, name, at_name, p = "method", m.group(1), m.start(1), _angle(masked, m.end())
     else:
         return None
     p = _close(masked, p) if masked.startswith("(", p) else -1
-    if p < 0:
-        return None
-    body = re.compile(r"\s*(?::\s*(?:[^{};]|\{[^{}]*\}\s*(?=[\[{|&]))*?)?\{").match(masked, p)
-    return (name, at_name, body.end() - 1, kind) if body else None
+    behind = _behind_type(masked, p, closes) if p > 0 else None
+    return (name, at_name, behind[1], kind) if behind and behind[0] == "{" else None
 
 
 def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     """As python_functions, for TypeScript and JavaScript."""
-    masked, docs = _mask(_JS_MASK, text)
+    masked, docs, inside = _mask(_JS_MASK, text)
+    closes, inside = _closes(masked), set(inside)
     classes, spans = [], []
     for m in _JS_CLASS.finditer(masked):
         end = _close(masked, m.end() - 1, len(masked))
@@ -186,7 +300,7 @@ def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     functions = []
     starts = {0, *documented, *(m.end() for m in re.finditer(r"\n(?=[ \t]*[\w$#@*])", masked))}
     for at in sorted(starts):
-        target = _js_target(masked, at)
+        target = _js_target(masked, at, closes)
         if not target:
             continue
         name, place, body, kind = target
@@ -196,7 +310,8 @@ def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
             doc = "\n".join(re.sub(r"^\s*\*? ?", "", x) for x in doc.split("\n")).strip()
         elif kind == "method" and owner is None:
             continue
-        end = _close(masked, masked.find("{", body), len(masked)) if "{" in masked[body : body + 200] else masked.find("\n", body)
+        opened = re.compile(r"\s*\{").match(masked, body)
+        end = closes.get(opened.end() - 1, -1) if opened else _expression_end(text, masked, body, closes, inside)
         functions.append((name, text.count("\n", 0, place) + 1, "method" if owner and kind == "method" else "function", owner, doc, at, end if end > 0 else len(text)))
     return functions, classes
 

@@ -104,6 +104,62 @@ def test_documentation_agrees_with_the_parser():
     assert found == want
 
 
+PY_BODY = '''def first(a):
+    """Sums up all of a.
+
+    Args:
+        a: numbers
+at column 0
+    """
+    s = f(
+1, 2
+)
+    t = """
+raw
+"""
+# a remark at column 0
+    return s + \\
+t
+
+# about second
+@deco
+def second(): return (
+    1
+)
+class A:
+    def third(self):
+        """One line of words here."""
+        if self:
+
+            return [
+        1]
+    def fourth(self):
+        return 1
+last = 1
+'''
+
+JS_BODY = {
+    "const a = (x) =>\n  x\n    .map((y) => {\n      return y;\n    })\n    .join(`\n`)": ";\nlet z = 1;\n",
+    "const b = ({ p, q }) => [\n  p,\n  { q },\n]": "\nlet z = 1\n",
+    "const c = function ({ p }) {\n  return p;\n}": ";\n",
+    "function d(): { a: number } {\n  return { a: 1 };\n}": "\n",
+    "function e(x): Promise<{ a: number }> {\n  return g(x);\n}": "\n",
+    "const f = (x): { a: number } => ({\n  a: x,\n})": ";\n",
+    "const g = (x): ((y: number) => void) => {\n  return h;\n}": ";\n",
+    "const h = x => y =>\n  x +\n  y": "\nlet z = 1\n",
+    "const i = (" + "x" * 300 + ") => " + "y" * 300 + " + {\n  z: 1\n}": "\n",
+}
+
+
+def test_code_reaches_the_end_of_the_body():
+    text = PY_BODY
+    found = {name: text[a:b] for name, _, _, _, _, a, b in docpairs.python_functions(text)[0]}
+    want = {x.name: "\n".join(text.split("\n")[x.lineno - 1 : x.end_lineno]) for x in ast.walk(ast.parse(text)) if isinstance(x, ast.FunctionDef)}
+    assert found == want
+    for code, rest in JS_BODY.items():
+        assert [(code + rest)[a:b] for *_, a, b in docpairs.js_functions(code + rest)[0]][0] == code
+
+
 def test_bases_may_form_a_circle(spark):
     text = "class A(B):\n    def m(self):\n        pass\nclass B(A):\n    def m(self):\n        pass\n"
     assert docpairs.doc_pairs(chunks(spark, {"a.py": text})).isEmpty()
