@@ -42,6 +42,9 @@ PATTERNS: dict[str, str] = {
     "remark": r"(?im)(?:#|//|/\*|\*|<!--)[^\n]{0,120}?\b(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s*(?:is\s|was\s|[=:])\s*[\"'`]?(?P<value>[^\s'\"`(){}\[\],;<>|]{8,200})",
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
+#: The patterns up to their values.
+_HEADS = {k: re.compile(v[: v.index("(?P<value>")]) for k, v in PATTERNS.items()}
+_MARKER, _REMARK_TAIL = re.compile(r"#|//|/\*|\*|<!--"), re.compile("(?i)" + PATTERNS["remark"][PATTERNS["remark"].index("\\b(?P<name>") :])
 
 _ANCHOR = re.compile(
     r"(?P<name>pass|pwd|pw(?![a-z])|kennwort|contrase|senha|haslo|heslo|parola|losenord|lykilord|sifre|secret|api[_-]?key|access[_-]?key|signing[_-]?key|private[_-]?key|service[_-]?key|encryption[_-]?key|account[_-]?key|deploy[_-]?key|master[_-]?key|auth[_-]?key|token|credential)"
@@ -118,21 +121,40 @@ def find_secrets(text: str, suffix: str = "") -> list[tuple[int, int, str]]:
         end = text.find("\n", hit.end())
         end = len(text) if end < 0 else end
         for kind in _KINDS_OF[hit.lastgroup]:
-            if (kind, begin) in seen:
-                continue
-            seen.add((kind, begin))
             reach = min(len(text), hit.end() + 20500) if kind == "private_key" else min(max(end, hit.end()) + 200, hit.end() + 700, len(text))
-            for m in _COMPILED[kind].finditer(text, begin, reach):
-                if m.start() > hit.end():
-                    break
-                found += _judge(kind, m, text, suffix)
+            for at in _places(kind, hit, whole if hit.lastgroup == "name" else None, text, begin, reach):
+                if (kind, at) in seen:
+                    continue
+                seen.add((kind, at))
+                if m := _COMPILED[kind].match(text, at, reach):
+                    found += _judge(kind, m, text, suffix)
+            if kind == "remark" and whole and (kind, whole.start(), "") not in seen and _MARKER.search(text, max(line, whole.start() - 120), whole.start()):
+                seen.add((kind, whole.start(), ""))
+                if m := _REMARK_TAIL.match(text, whole.start(), reach):
+                    found += _judge(kind, m, text, suffix)
     out: list[tuple[int, int, str]] = []
-    for span in sorted(set(found), key=lambda x: (x[0], -x[1])):
+    rank = {k: i for i, k in enumerate(PATTERNS)}
+    for span in sorted(set(found), key=lambda x: (x[0], -x[1], rank.get(x[2], len(rank)))):
         if not out or span[0] >= out[-1][1]:
             out.append(span)
+        elif span[1] > out[-1][1]:
+            out.append((out[-1][1], span[1], "continued"))
     return out
 
 
+def _places(kind: str, hit: re.Match, whole: re.Match | None, text: str, begin: int, reach: int) -> Iterator[int]:
+    """Where a match of the kind that holds the anchor or lies before it on the line can begin."""
+    if kind in ("provider_key", "web_token"):
+        yield hit.start()
+        return
+    at = begin
+    while (head := _HEADS[kind].search(text, at, reach)) and head.start() <= hit.end():
+        yield head.start()
+        # A head can hold two names of which the first has no value: go on behind its first word.
+        word = _WORD.match(text, head.start())
+        at = word.end() if word else head.start() + 1
+
+
 def _judge(kind: str, m: re.Match, text: str, suffix: str) -> list[tuple[int, int, str]]:
     """The match's span if its value can be used."""
     value, found = m.group("value"), [(*m.span("value"), kind)]

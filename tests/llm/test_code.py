@@ -250,6 +250,16 @@ def test_secrets(spark):
     ast.parse(rows["k.py"].redacted)
 
 
+def test_every_secret_of_a_line_is_redacted():
+    a, b = "Tr0ub4dor&3xyz", "k9Qz7Lm2Vw8Rt5"
+    for line in (
+        f'token=None, password="{a}"', f'c = {{"db_password": "{a}", "api_token": "{b}"}}', f"see https://docs.host.org/x then postgres://u:{a}@h/d", f"A=postgres://u:{a}@h/d B=amqp://v:{b}@h/e",
+        f"# token: {b} password: {a}", f"run --password={a} --token {b}", f'token=get("x"), secret="{a}", password="{b}"',
+    ):
+        got = secrets.redact(line, secrets.find_secrets(line, "py"))
+        assert a not in got and b not in got, got
+
+
 def test_required_trigrams_hold():
     for kind, text in (("provider_key", "ghp_iNJ9rdYaWlocKea5rlcLco6041xT3PsJqDXz"), ("basic", "Basic cmVnaW9uX21hcDo="), ("url", "ab://b:cdefg@h"), ("assigned", "API_KEY = 'abcdef12'"), ("assigned", "smtp_pw1: 'abcdef12'")):
         assert secrets._COMPILED[kind].search(text) and any(all(g in text.lower() for g in alt) for alt in secrets.required(kind))
