@@ -33,13 +33,13 @@ PATTERNS: dict[str, str] = {
     "url": r"(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'\"`<>]*:(?P<value>[^\s@/'\"`<>]{3,})@[\w.\[-]",
     "basic": r"(?i)\bBasic\s+(?P<value>[A-Za-z0-9+/]{8,}={0,2})",
     "bearer": r"(?i)\bBearer\s+(?P<value>[0-9A-Za-z._~+/-]{16,}=*)",
-    "private_key": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<value>(?:(?!-----)[\s\S]){24,20000})",
-    "assigned": r"(?i)(?P<name>[\w.-]*" + _NAME + r"[\w-]*)[\"'`]?\]?\s*(?::\s*(?:[A-Za-z_][\w.\[\] |]*)?\s*=(?!=)|=>|:=|=(?!=)|:)\s*(?:(?:[\w.]+\s*\(|[\w.]+\s*\[)\s*[\"'`][\w.-]+[\"'`]\s*\]?\s*(?:,|\)?\s*\|\||\?\?|\s+or\s)\s*|[\w.]+\s*(?:\|\||\?\?|\s+or\s)\s*)?\(?\s*[rbuf]{0,2}(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\n\\]|\\.){4,400})(?P=q)",
-    "flag": r"(?i)--(?P<name>[\w-]*" + _NAME + r"[\w-]*)(?:=|\s+)[\"']?(?P<value>[^\s'\"`]{6,200})",
-    "bare": r"(?im)^[ \t]*(?:(?:#|//|\*|--|;|-)\s*)?(?:export\s+|set\s+|ENV\s+|-\s+)?(?P<name>[\w.-]*" + _NAME + r"[\w-]*)\s*[=:]\s*(?P<value>[^\s'\"`(){}\[\],;<>|]{6,200})[ \t]*(?:#.*)?$",
-    "prose": r"(?i)(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s+(?:is|was)\s+`?[\"'`](?P<value>[^\s'\"`]{6,200})[\"'`]",
-    "login": r"(?i)\b(?:login|logon|account|access|credentials?|creds|user(?:name)?)\s*[:=]\s*[\w.@-]{2,60}\s*(?:/|:|\s)\s*(?P<value>[^\s'\"`<>]{8,80})",
-    "remark": r"(?im)(?:#|//|/\*|\*|<!--)[^\n]{0,120}?\b(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s*(?:is\s|was\s|[=:])\s*[\"'`]?(?P<value>[^\s'\"`(){}\[\],;<>|]{8,200})",
+    "private_key": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<value>(?:(?!-----)[\s\S]){24,})",
+    "assigned": r"(?i)(?P<name>[\w.-]*" + _NAME + r"[\w-]*)[\"'`]?\]?\s*(?::\s*(?:[A-Za-z_][\w.\[\] |]*)?\s*=(?!=)|=>|:=|=(?!=)|:)\s*(?:(?:[\w.]+\s*\(|[\w.]+\s*\[)\s*[\"'`][\w.-]+[\"'`]\s*\]?\s*(?:,|\)?\s*\|\||\?\?|\s+or\s)\s*|[\w.]+\s*(?:\|\||\?\?|\s+or\s)\s*)?\(?\s*[rbuf]{0,2}(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\n\\]|\\.){4,})(?P=q)",
+    "flag": r"(?i)--(?P<name>[\w-]*" + _NAME + r"[\w-]*)(?:=|\s+)[\"']?(?P<value>[^\s'\"`]{6,})",
+    "bare": r"(?im)^[ \t]*(?:(?:#|//|\*|--|;|-)\s*)?(?:export\s+|set\s+|ENV\s+|-\s+)?(?P<name>[\w.-]*" + _NAME + r"[\w-]*)\s*[=:]\s*(?P<value>[^\s'\"`(){}\[\],;<>|]{6,})[ \t]*(?:#.*)?$",
+    "prose": r"(?i)(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s+(?:is|was)\s+`?[\"'`](?P<value>[^\s'\"`]{6,})[\"'`]",
+    "login": r"(?i)\b(?:login|logon|account|access|credentials?|creds|user(?:name)?)\s*[:=]\s*[\w.@-]{2,60}\s*(?:/|:|\s)\s*(?P<value>[^\s'\"`<>]{8,})",
+    "remark": r"(?im)(?:#|//|/\*|\*|<!--)[^\n]{0,120}?\b(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s*(?:is\s|was\s|[=:])\s*[\"'`]?(?P<value>[^\s'\"`(){}\[\],;<>|]{8,})",
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
 #: The patterns up to their values.
@@ -92,7 +92,7 @@ def _usable(value: str, strict: bool) -> bool:
     return (kinds >= 3 or (kinds == 2 and (digit or len(value) >= 12))) and len(value) >= 6
 
 
-_ADDED = re.compile(r"[\"'`]?\s*\+?\s*([\"'`])([^\"'`\n]{2,200})\1")
+_ADDED = re.compile(r"[\"'`]?\s*\+?\s*([\"'`])([^\"'`\n]{2,})\1")
 
 
 def _joined(text: str, end: int) -> list[tuple[int, int]]:
@@ -121,16 +121,17 @@ def find_secrets(text: str, suffix: str = "") -> list[tuple[int, int, str]]:
         end = text.find("\n", hit.end())
         end = len(text) if end < 0 else end
         for kind in _KINDS_OF[hit.lastgroup]:
-            reach = min(len(text), hit.end() + 20500) if kind == "private_key" else min(max(end, hit.end()) + 200, hit.end() + 700, len(text))
+            # Heads are looked for near the anchor; a match runs to the end of its own value.
+            reach = min(max(end, hit.end()) + 200, hit.end() + 700, len(text))
             for at in _places(kind, hit, whole if hit.lastgroup == "name" else None, text, begin, reach):
                 if (kind, at) in seen:
                     continue
                 seen.add((kind, at))
-                if m := _COMPILED[kind].match(text, at, reach):
+                if m := _COMPILED[kind].match(text, at):
                     found += _judge(kind, m, text, suffix)
             if kind == "remark" and whole and (kind, whole.start(), "") not in seen and _MARKER.search(text, max(line, whole.start() - 120), whole.start()):
                 seen.add((kind, whole.start(), ""))
-                if m := _REMARK_TAIL.match(text, whole.start(), reach):
+                if m := _REMARK_TAIL.match(text, whole.start()):
                     found += _judge(kind, m, text, suffix)
     out: list[tuple[int, int, str]] = []
     rank = {k: i for i, k in enumerate(PATTERNS)}
