@@ -21,8 +21,6 @@ from srcloom.llm.files import assemble
 from srcloom.runtime import cut
 
 LEAST_WORDS = 4
-#: Classes above a method that are searched at most; a chain of bases that is longer or closed ends there.
-MOST_BASES = 64
 
 _PY_MASK = re.compile(r'#[^\n]*|(?:\b[rRbBuUfF]{1,2})?(?:"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\')', re.S)
 _PY_DEF = re.compile(r"^([ \t]*)(?:(async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\])?[ \t]*\(|class[ \t]+([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\])?[ \t]*(\(|:))", re.M)
@@ -146,6 +144,106 @@ def _angle(masked: str, at: int) -> int:
     return at
 
 
+_PY_FROM = re.compile(r"^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(\([^)]*\)|(?:[^\n;\\]|\\\r?\n)*)", re.M)
+_PY_IMPORT = re.compile(r"^[ \t]*import[ \t]+([^\n;]+)", re.M)
+_JS_IMPORT = re.compile(r"^[ \t]*import\s+(?:type\s+)?([\w$*\s{},]+?)\s*from\s*['\"]([^'\"\n]+)['\"]|\b(?:const|let|var)\s+(\{[^{}]*\}|[\w$]+)\s*=\s*require\(\s*['\"]([^'\"\n]+)['\"]\s*\)", re.M)
+
+
+def _python_imports(masked: str) -> tuple[dict[str, tuple[str, str | None]], list[str]]:
+    """Local names of a Python file's imports, as (module, name in it or None), and modules imported with a star."""
+    names, stars = {}, []
+    for m in _PY_IMPORT.finditer(masked):
+        for part in m.group(1).split(","):
+            words_ = part.split()
+            if len(words_) == 3 and words_[1] == "as":
+                names[words_[2]] = (words_[0], None)
+    for m in _PY_FROM.finditer(masked):
+        for part in re.sub(r"[()\\]", " ", m.group(2)).split(","):
+            words_ = part.split()
+            if words_ == ["*"]:
+                stars.append(m.group(1))
+            elif words_:
+                names[words_[-1]] = (m.group(1), words_[0])
+    return names, stars
+
+
+def _js_imports(text: str, masked: str) -> dict[str, tuple[str, str | None]]:
+    """As _python_imports; a default import is taken for the class of its name."""
+    names = {}
+    for m in _JS_IMPORT.finditer(text):
+        at = m.start(1) if m.group(1) else m.start(3)
+        if masked[at] != text[at]:
+            continue
+        what, module = (m.group(1), m.group(2)) if m.group(1) else (m.group(3), m.group(4))
+        for part in re.sub(r"[{}]", ",", what.replace(":", " as ")).split(","):
+            words_ = [x for x in part.split() if x != "type"]
+            if len(words_) == 3:
+                names[words_[2]] = (module, None if words_[0] == "*" else words_[0])
+            elif len(words_) == 1:
+                names[words_[0]] = (module, words_[0] if "{" in what or m.group(1) else None)
+    return names
+
+
+def _reference(base: str, names: dict, stars: list[str], slash: str) -> tuple[str, str, list[str]]:
+    """(name in this file, name where it is defined, modules that can define it) of a base class."""
+    *qualifier, name = base.split(".")
+    join = lambda module, rest: slash.join([module] * bool(module) + rest) if not module.endswith(".") else module + slash.join(rest)
+    if not qualifier:
+        if name not in names:
+            return name, name, stars
+        module, there = names[name]
+        return name, there or name, [module]
+    if qualifier[0] not in names:
+        return name, name, [slash.join(qualifier)] if slash == "." else []
+    module, there = names[qualifier[0]]
+    return name, name, [join(module, [there] * bool(there) + qualifier[1:]), *[module] * bool(there)]
+
+
+def _folded(parts: list[str]) -> str:
+    out: list[str] = []
+    for x in parts:
+        if x == "..":
+            out[-1:] = []
+        elif x not in ("", "."):
+            out.append(x)
+    return "/".join(out)
+
+
+def _stem(path: str) -> str:
+    return re.sub(r"(?:\.d)?\.(?:pyi?|[cm]?[jt]sx?)$", "", path, flags=re.I)
+
+
+def _keys_of(path: str) -> list[str]:
+    """Keys under which the classes of a file are known: its path, its module, every tail of that, its folders, and none."""
+    module = _folded(_stem(path).split("/"))
+    modules = [module, *[module.rpartition("/")[0]] * (module.rpartition("/")[2] in ("__init__", "index"))]
+    folders = module.split("/")[:-1]
+    out = ["=" + path, *("/" + x for x in modules), *("/".join(p[k:]) for x in modules for p in [x.split("/")] for k in range(len(p)))]
+    return list(dict.fromkeys([*out, *("/" + "/".join(folders[: k + 1]) + "/" for k in range(len(folders))), ""]))
+
+
+def _keys_for(path: str, here: str, modules: list[str], same: bool) -> list[str]:
+    """Keys to look a base up under, best first: this file, its modules, files inside them, the repository."""
+    folder = path.split("/")[:-1]
+    out, inside = ["=" + path] if same else [], []
+    for module in modules:
+        if path.lower().endswith(".py"):
+            dots = len(module) - len(module.lstrip("."))
+            parts = [x for x in module.split(".") if x]
+            if dots:
+                exact, tail = [_folded([*folder, *[".."] * (dots - 1), *parts])], None
+            else:
+                exact, tail = [_folded([*folder[:k], *parts]) for k in range(len(folder), -1, -1)], "/".join(parts)
+        elif module.startswith("."):
+            exact, tail = [_folded([*folder, *_stem(module).split("/")])], None
+        else:
+            tail = _stem(module.removeprefix("@/").removeprefix("~/"))
+            exact = [tail]
+        out += ["/" + x for x in exact] + [tail] * bool(tail)
+        inside += [f"/{x}/" for x in exact if x]
+    return list(dict.fromkeys([*out, *inside, ""]))
+
+
 def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     """Functions (name, line, kind, class, doc, start, end) and classes (name, bases) of a Python file."""
     masked, _, inside = _mask(_PY_MASK, text)
@@ -160,7 +258,7 @@ def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
             bases = []
             if m.group(5) == "(":
                 end = _close(masked, m.end() - 1)
-                bases = [b.strip().split(".")[-1] for b in re.sub(r"\[[^\]]*\]", "", masked[m.end() : max(end - 1, m.end())]).split(",") if "=" not in b and b.strip()]
+                bases = [re.sub(r"\s", "", b) for b in re.sub(r"\[[^\]]*\]", "", masked[m.end() : max(end - 1, m.end())]).split(",") if "=" not in b and b.strip()]
             classes.append((m.group(4), bases))
             stack.append((width, m.group(4), True))
             continue
@@ -188,7 +286,8 @@ def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
                     except (SyntaxError, ValueError):
                         pass
         functions.append((m.group(3), text.count("\n", 0, name_at) + 1, "method" if owner else "function", owner, doc, m.start(), _python_end(text, masked, starts, head, width)))
-    return functions, classes
+    names, stars = _python_imports(masked) if any(bases for _, bases in classes) else ({}, [])
+    return functions, [(c, [_reference(b, names, stars, ".") for b in bases]) for c, bases in classes]
 
 
 _TYPE_PART = re.compile(r"=>|[(\[{<;})\],]")
@@ -284,7 +383,7 @@ def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     for m in _JS_CLASS.finditer(masked):
         end = _close(masked, m.end() - 1, len(masked))
         spans.append((m.start(), end if end > 0 else len(masked), m.group(1)))
-        classes.append((m.group(1), [m.group(2).split(".")[-1]] if m.group(2) else []))
+        classes.append((m.group(1), [m.group(2)] if m.group(2) else []))
     documented = {}
     for a, b in docs:
         line = text.find("\n", b)
@@ -313,10 +412,11 @@ def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
         opened = re.compile(r"\s*\{").match(masked, body)
         end = closes.get(opened.end() - 1, -1) if opened else _expression_end(text, masked, body, closes, inside)
         functions.append((name, text.count("\n", 0, place) + 1, "method" if owner and kind == "method" else "function", owner, doc, at, end if end > 0 else len(text)))
-    return functions, classes
+    names = _js_imports(text, masked) if any(bases for _, bases in classes) else {}
+    return functions, [(c, [_reference(b, names, [], "/") for b in bases]) for c, bases in classes]
 
 
-_FOUND = "repo_id string, file_path string, symbol_name string, start_line int, kind string, class_name string, bases array<string>, doc string, n_words int, code string"
+_FOUND = "repo_id string, file_path string, symbol_name string, start_line int, kind string, class_name string, bases array<struct<here:string,name:string,keys:array<string>>>, keys array<string>, doc string, n_words int, code string"
 
 
 def _extract(with_code: bool):
@@ -325,46 +425,66 @@ def _extract(with_code: bool):
             out = []
             for repo, path, text in zip(pdf["repo_id"], pdf["file_path"], pdf["text"], strict=True):
                 fs, cs = (python_functions if path.lower().endswith(".py") else js_functions)(text)
-                out += [(repo, path, name, line, kind, owner, None, doc, words(doc) if doc else 0, text[a:b] if with_code else None) for name, line, kind, owner, doc, a, b in fs]
-                out += [(repo, path, name, None, "class", name, bases, None, 0, None) for name, bases in cs]
-            yield pd.DataFrame(out, columns=["repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", "bases", "doc", "n_words", "code"]).astype({"start_line": "Int32"})
+                out += [(repo, path, name, line, kind, owner, None, None, doc, words(doc) if doc else 0, text[a:b] if with_code else None) for name, line, kind, owner, doc, a, b in fs]
+                keys = _keys_of(path) if cs else []
+                out += [(repo, path, name, None, "class", name, [{"here": h, "name": n, "keys": _keys_for(path, h, modules, h != name)} for h, n, modules in bases], keys, None, 0, None) for name, bases in cs]
+            yield pd.DataFrame(out, columns=["repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", "bases", "keys", "doc", "n_words", "code"]).astype({"start_line": "Int32"})
 
     return run
 
 
+def _bases(classes: DataFrame) -> DataFrame:
+    """(r, at_path, at, pos, base_path, base): the bases of every class, each as the one class it means."""
+    one = Window.partitionBy("r", "file_path", "class_name").orderBy(F.to_json(F.struct("bases")))
+    first = classes.withColumn("n", F.row_number().over(one)).where("n = 1").select("r", "file_path", "class_name", F.posexplode("bases").alias("pos", "b"))
+    wanted = first.select("r", F.col("file_path").alias("at_path"), F.col("class_name").alias("at"), "pos", F.posexplode("b.keys").alias("rank", "key"), "b.here", "b.name")
+    wanted = wanted.withColumn("base", F.when(F.col("key").startswith("="), F.col("here")).otherwise(F.col("name"))).drop("here", "name")
+    known = classes.select("r", "file_path", F.col("class_name").alias("base"), F.explode("keys").alias("key")).distinct()
+    known = known.join(wanted.select("r", "base", "key").distinct(), ["r", "base", "key"], "left_semi")
+    # The second counts where a class would be its own base.
+    two = Window.partitionBy("r", "base", "key").orderBy("file_path")
+    known = known.withColumn("n", F.row_number().over(two)).where("n <= 2").select("r", "base", "key", F.col("file_path").alias("base_path"))
+    met = wanted.join(known, ["r", "base", "key"]).where("base != at OR base_path != at_path")
+    best = met.groupBy("r", "at_path", "at", "pos").agg(F.min_by(F.struct("base_path", "base"), F.struct("rank", "base_path")).alias("b"))
+    return cut(best.select("r", "at_path", "at", "pos", "b.base_path", "b.base"))
+
+
 def doc_pairs(chunks: DataFrame, least_words: int = LEAST_WORDS, with_code: bool = True) -> DataFrame:
     """Pairs (repo_id, file_path, symbol_name, start_line, kind, code, doc, n_words, doc_from).
 
     One row per function or method of the Python, TypeScript and JavaScript files whose
     documentation has at least least_words words.  doc_from is 'own', or 'Base.method' for
     documentation inherited from the nearest base class of the repository that documents
-    the method; of several classes of one name the one in the smallest path counts.
+    the method.  A base is looked for in the same file, then where imports lead, inside
+    an imported package, and only then by its name in the repository, where the smallest
+    path counts.  A default import is taken for the class of its name.
     Functions without such documentation are dropped, as are null contents and paths.
     Repeated rows and second ingests give one pair.
     """
     files = assemble(chunks, ("py", "ts", "tsx", "js", "jsx"))
     found = cut(files.mapInPandas(_extract(with_code), _FOUND).distinct())
-    functions = found.where("kind != 'class'").drop("bases")
+    functions = found.where("kind != 'class'").drop("bases", "keys")
     own = functions.where(F.col("n_words") >= least_words).withColumn("doc_from", F.lit("own"))
     key = F.coalesce("repo_id", F.lit(""))
-    one = Window.partitionBy("r", "class_name").orderBy("file_path", F.to_json(F.struct("bases")))
-    classes = found.where("kind = 'class'").withColumn("r", key).withColumn("n", F.row_number().over(one)).where("n = 1")
-    bases = cut(classes.select("r", F.col("class_name").alias("at"), F.posexplode("bases").alias("pos", "base")))
-    w = Window.partitionBy("r", "class_name", "symbol_name").orderBy("file_path", "start_line")
+    bases = _bases(found.where("kind = 'class'").withColumn("r", key))
+    w = Window.partitionBy("r", "file_path", "class_name", "symbol_name").orderBy("start_line")
     documented = own.where("class_name IS NOT NULL").withColumn("r", key).withColumn("n", F.row_number().over(w)).where("n = 1")
-    documented = documented.select("r", F.col("class_name").alias("base"), "symbol_name", F.col("doc").alias("d"), F.col("n_words").alias("nw"))
-    open_ = functions.where((F.col("n_words") < least_words) & F.col("class_name").isNotNull()).withColumn("r", key)
-    open_ = open_.select("r", "repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", "code", F.col("class_name").alias("at"))
-    result = own
-    for _ in range(MOST_BASES):
-        up = open_.join(bases, ["r", "at"])
-        tried = cut(up.join(documented, ["r", "base", "symbol_name"], "left"))
-        row = ["r", "repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", "code"]
-        hit = tried.where("d IS NOT NULL").groupBy(*row).agg(F.min_by(F.struct("d", "nw", "base"), "pos").alias("b"))
-        result = result.unionByName(
-            hit.select("repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", F.col("b.d").alias("doc"), F.col("b.nw").alias("n_words"), "code", F.concat("b.base", F.lit("."), "symbol_name").alias("doc_from"))
-        )
-        open_ = tried.join(hit.select("r", "file_path", "symbol_name", "start_line"), ["r", "file_path", "symbol_name", "start_line"], "left_anti").select(*row, F.col("base").alias("at")).distinct()
-        if open_.join(bases, ["r", "at"], "left_semi").isEmpty():
+    documented = documented.select("r", F.col("file_path").alias("base_path"), F.col("class_name").alias("base"), "symbol_name", F.col("doc").alias("d"), F.col("n_words").alias("nw"))
+    method = ["r", "file_path", "class_name", "symbol_name", "start_line"]
+    lacking = functions.where((F.col("n_words") < least_words) & F.col("class_name").isNotNull()).withColumn("r", key).drop("doc", "n_words")
+    open_ = lacking.select(*method, F.col("file_path").alias("at_path"), F.col("class_name").alias("at"))
+    seen, hits = open_, None
+    while True:
+        up = open_.join(bases, ["r", "at_path", "at"])
+        tried = cut(up.join(documented, ["r", "base_path", "base", "symbol_name"], "left"))
+        hit = tried.where("d IS NOT NULL").groupBy(*method).agg(F.min_by(F.struct("d", "nw", "base"), F.struct("pos", "base_path", "base")).alias("b"))
+        hits = hit if hits is None else hits.unionByName(hit)
+        up = tried.join(hit.select(*method), method, "left_anti").select(*method, F.col("base_path").alias("at_path"), F.col("base").alias("at")).distinct()
+        # A method comes to a class once, so circles end.
+        open_ = cut(up.join(bases.select("r", "at_path", "at").distinct(), ["r", "at_path", "at"], "left_semi").join(seen, [*method, "at_path", "at"], "left_anti"))
+        if open_.isEmpty():
             break
+        seen = seen.unionByName(open_)
+    inherited = lacking.join(hits, method).select("repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", F.col("b.d").alias("doc"), F.col("b.nw").alias("n_words"), "code", F.concat("b.base", F.lit("."), "symbol_name").alias("doc_from"))
+    result = own.unionByName(inherited)
     return result.select("repo_id", "file_path", "symbol_name", "start_line", "kind", "code", "doc", "n_words", "doc_from").distinct()

@@ -165,6 +165,25 @@ def test_bases_may_form_a_circle(spark):
     assert docpairs.doc_pairs(chunks(spark, {"a.py": text})).isEmpty()
 
 
+def test_bases_are_those_of_the_file_and_its_imports(spark):
+    base = lambda what: f'class Base:\n    def run(self):\n        """Runs {what} of the whole."""\n'
+    child = "class Child(Base):\n    def run(self):\n        pass\n"
+    files = {
+        "a/base.py": base("a"), "b/base.py": base("b"), "b/pkg/__init__.py": "from .impl import Base\n", "b/pkg/impl.py": base("c"),
+        "a/one.py": base("one") + child, "b/two.py": "from .base import Base as B\n" + child.replace("(Base", "(B"), "b/three.py": "from b.pkg import Base\n" + child, "b/four.py": "import b.base\n" + child.replace("Base", "b.base.Base"),
+        "b/five.py": child, "b/six.py": "from b import base\nclass Base(base.Base):\n    def run(self):\n        pass\n", "z/seven.py": "from b.base import *\n" + child,
+        "w/x.ts": "export class Shape {\n  /** Draws w with great care. */\n  draw() { }\n}\n", "v/x.ts": "export class Shape {\n  /** Draws v with great care. */\n  draw() { }\n}\n", "w/y.ts": "import { Shape } from './x';\nclass Y extends Shape {\n  /** Short. */\n  draw() { }\n}\n",
+    }
+    got = {r.file_path: (r.doc.split()[1], r.doc_from) for r in docpairs.doc_pairs(chunks(spark, files)).collect() if r.doc_from != "own"}
+    want = {"a/one.py": "one", "b/two.py": "b", "b/three.py": "c", "b/four.py": "b", "b/five.py": "a", "b/six.py": "b", "z/seven.py": "b"}
+    assert got == {k: (v, "Base.run") for k, v in want.items()} | {"w/y.ts": ("w", "Shape.draw")}
+
+
+def test_long_chains_of_bases_are_climbed(spark):
+    text = 'class C0:\n    def m(self):\n        """Four words stand here."""\n' + "".join(f"class C{k}(C{k - 1}):\n    pass\n" for k in range(1, 70)) + "class Last(C69):\n    def m(self):\n        pass\n"
+    assert [r.doc_from for r in docpairs.doc_pairs(chunks(spark, {"a.py": text})).collect() if r.doc_from != "own"] == ["C0.m"]
+
+
 def test_provenance(spark):
     rng = random.Random(4)
     hand = "def f(a, b):\n    if a:\n        return [x for x in b]\n    for y in b:\n        print(y)\n    return None\n\n"
