@@ -1,9 +1,8 @@
 """Source files nobody wrote by hand: generated, minified, vendored and data files.
 
 Every file is tokenised once.  Its tokens with identifiers, numbers and strings masked
-give shingles of five; one-permutation MinHash sketches of them are banded, files of a
-band bucket are linked to the bucket's first file where their sketches agree in at
-least 0.8, and links are closed to families.  A family within one repository is the
+give shingles of five; one-permutation MinHash sketches of them are banded, all files of
+a band bucket are compared by sketch, those that agree in at least 0.8 are linked, and links are closed to families.  A family within one repository is the
 work of a generator if its members carry its marks, a family across repositories a
 vendored copy if they carry a third party's, and a family of files that are all but
 literals is data.  Marks of a file itself settle the rest; that two repositories hold
@@ -18,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ from srcloom.runtime import cut
 SUFFIXES = ("py", "ts", "tsx", "js", "jsx")
 SHINGLE, SLOTS, ROWS = 5, 64, 4
 SIMILAR = 0.8
+#: Members of a band bucket that one task compares with as many others.
+BLOCK = 2048
 #: Share of a family's members with a mark from which it passes to the others.
 FAMILY_SHARE = 0.5
 
@@ -83,8 +85,8 @@ def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def describe(path: str, text: str) -> tuple[str | None, bytes | None, bool]:
-    """(mark, sketch, literal only) of a file; mark is generated, minified, vendored, data or None."""
+def describe(path: str, text: str) -> tuple[str | None, bytes | None, bool, bytes | None]:
+    """(mark, sketch, literal only, sorted 32-bit hashes of the shingles) of a file; mark is generated, minified, vendored, data or None."""
     remarks: list[str] = []
     literal = 0
 
@@ -124,49 +126,92 @@ def describe(path: str, text: str) -> tuple[str | None, bytes | None, bool]:
     elif code == 0 and len(tokens) > 60 and len(np.unique(_rolled(codes, 8))) < 0.12 * len(tokens):
         mark = "generated"  # one statement over and over
     if len(tokens) < SHINGLE:
-        return mark, None, only
+        return mark, None, only, None
     h = np.unique(_rolled(codes, SHINGLE))
     slot, value = (h % np.uint64(SLOTS)).astype(np.int64), (h >> np.uint64(8)) & np.uint64(0xFFFFFFFF)
+    high = (h >> np.uint64(32)).astype(np.uint32)  # sorted, as h is
     sketch = np.full(SLOTS, 0xFFFFFFFF, dtype=np.uint64)
     np.minimum.at(sketch, slot, value)
     empty = sketch == 0xFFFFFFFF
     if empty.all():
-        return mark, None, only
+        return mark, None, only, None
     if empty.any():  # an empty slot borrows from the next filled one
         filled = np.flatnonzero(~empty)
         take = filled[np.searchsorted(filled, np.flatnonzero(empty)) % len(filled)]
         sketch[empty] = (sketch[take] * np.uint64(0x85EBCA6B) + np.flatnonzero(empty).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-    return mark, sketch.astype(np.uint32).tobytes(), only
+    return mark, sketch.astype(np.uint32).tobytes(), only, high[np.append(True, high[1:] != high[:-1])].tobytes()
 
 
 def _describe_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for repo, path, text in zip(pdf["repo_id"], pdf["file_path"], pdf["text"], strict=True):
-            mark, sketch, only = describe(path, text)
+            mark, sketch, only, shingles = describe(path, text)
             bands = [] if sketch is None else [int.from_bytes(sketch[i : i + 4 * ROWS][:8], "little", signed=True) ^ int.from_bytes(sketch[i + 8 : i + 16], "little", signed=True) * 31 % (1 << 62) ^ (i << 52) for i in range(0, 4 * SLOTS, 4 * ROWS)]
-            out.append((repo, path, mark, only, sketch, [(b + (1 << 63)) % (1 << 64) - (1 << 63) for b in bands]))
-        yield pd.DataFrame(out, columns=["repo_id", "file_path", "mark", "literal_only", "sketch", "bands"])
-
-
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), dtype=np.uint32).reshape(-1, SLOTS)
-    y = np.frombuffer(b"".join(b), dtype=np.uint32).reshape(-1, SLOTS)
-    return pd.Series((x == y).mean(axis=1))
+            out.append((repo, path, mark, only, sketch, sketch and sketch[::4], shingles, [(b + (1 << 63)) % (1 << 64) - (1 << 63) for b in bands]))
+        yield pd.DataFrame(out, columns=["repo_id", "file_path", "mark", "literal_only", "sketch", "short", "shingles", "bands"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a block's members whose sketches, a byte a slot, agree in at least SIMILAR."""
+    for batch in batches:
+        members = batch.column(0)
+        offsets = members.offsets.to_numpy() - members.offsets[0].as_py()
+        flat = members.flatten()
+        ids, side = flat.field("id").to_numpy(), flat.field("side").to_numpy()
+        short = np.frombuffer(b"".join(flat.field("short").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+        left, right, n = [], [], 0
+        for low, high in zip(offsets[:-1], offsets[1:], strict=True):
+            # Sides 0 and 1 are compared with each other, a block of side 2 with itself.
+            own = side[low:high]
+            firsts = range(low, high - 1) if own[0] == 2 else low + np.flatnonzero(own == 0)
+            others = None if own[0] == 2 else low + np.flatnonzero(own == 1)
+            for k in firsts:
+                to = np.arange(k + 1, high) if others is None else others
+                left.append(np.full(len(to), k))
+                right.append(to)
+                n += len(to)
+                if n > 1 << 16:
+                    yield _kept(ids, short, left, right)
+                    left, right, n = [], [], 0
+        if n:
+            yield _kept(ids, short, left, right)
+
+
+def _kept(ids: np.ndarray, short: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(left), np.concatenate(right)
+    keep = (short[a] == short[b]).sum(axis=1, dtype=np.uint8) >= SIMILAR * SLOTS
+    a, b = ids[a[keep]], ids[b[keep]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["id", "lead"])
+
+
+def _candidates(reps: DataFrame) -> DataFrame:
+    """Distinct pairs (id, lead) of reps (id, bands, short) that share a bucket and may be alike.
+
+    All members of a bucket are compared.  A bucket of more than BLOCK members is cut into
+    blocks, and every two of them are compared in a group of their own.
+    """
+    banded = reps.select("id", "short", F.explode(F.array_distinct("bands")).alias("band"))
+    size = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    member = banded.join(size, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    member = member.select("band", "id", "short", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    groups = member.groupBy("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("id", "short", side.alias("side"))).alias("members"))
+    return groups.where("size(members) > 1").select("members").mapInArrow(_alike, "id long, lead long").distinct()
 
 
 def families(files: DataFrame) -> DataFrame:
-    """(id, family): files (id, sketch, bands) whose masked shingles agree, closed over links.
+    """(id, family): files (id, sketch, short, shingles, bands) whose masked shingles agree, closed over links.
 
-    A bucket links its members to its smallest id only, so a bucket with a third of all
-    files costs a row per member; members that don't agree with it are linked by the
-    other bands.  Closing takes the smallest id along links until nothing changes.
+    Files of equal sketches count as one.  Of the others all that share a bucket are
+    compared by sketch.  Closing takes the smallest id
+    along links until nothing changes.
     """
-    banded = files.select("id", F.explode("bands").alias("band"))
-    lead = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead")
-    pairs = banded.join(lead, "band").where("id != lead").select("id", "lead").distinct()
-    sk = files.select("id", "sketch")
-    linked = pairs.join(sk, "id").join(sk.toDF("lead", "lead_sketch"), "lead").where(F.pandas_udf(_agreement, "double")("sketch", "lead_sketch") >= SIMILAR).select("id", "lead")
+    rep = files.groupBy("sketch").agg(F.min("id").alias("lead"))
+    equal = cut(files.select("id", "sketch").join(rep, "sketch").select("id", "lead"))
+    reps = files.join(equal.where("id = lead").select("id"), "id", "left_semi")
+    pairs = cut(_candidates(reps.select("id", "bands", "short")))
+    linked = pairs.unionByName(equal.where("id != lead"))
     both = cut(linked.unionByName(linked.select(F.col("lead").alias("id"), F.col("id").alias("lead"))))
     label = cut(files.select("id", F.col("id").alias("family")))
     while True:
@@ -187,9 +232,9 @@ def provenance(chunks: DataFrame) -> DataFrame:
     left out; repeated rows and second ingests give one row; a null repo_id is a repository
     of its own.
     """
-    files = assemble(chunks, SUFFIXES).mapInPandas(_describe_all, "repo_id string, file_path string, mark string, literal_only boolean, sketch binary, bands array<long>")
+    files = assemble(chunks, SUFFIXES).mapInPandas(_describe_all, "repo_id string, file_path string, mark string, literal_only boolean, sketch binary, short binary, shingles binary, bands array<long>")
     files = cut(files.withColumn("id", F.monotonically_increasing_id()))
-    fam = families(files.where("sketch IS NOT NULL").select("id", "sketch", "bands"))
+    fam = families(files.where("sketch IS NOT NULL").select("id", "sketch", "short", "shingles", "bands"))
     rows = files.join(fam, "id", "left").withColumn("family", F.coalesce("family", "id"))
     share = lambda m: F.avg((F.coalesce("mark", F.lit("")) == m).cast("double"))
     about = rows.groupBy("family").agg(

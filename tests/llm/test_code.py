@@ -201,6 +201,27 @@ def test_provenance(spark):
     assert got == want
 
 
+def sketched(spark, rows):
+    bands = lambda s: [int(np.frombuffer(s[i : i + 8], np.int64)[0]) ^ i for i in range(0, 256, 16)]
+    made = [(n, s.astype(np.uint32).tobytes(), np.sort(g).astype(np.uint32).tobytes()) for n, s, g in rows]
+    return spark.createDataFrame([(n, bytearray(s), bytearray(s[::4]), bytearray(g), bands(s)) for n, s, g in made], "id long, sketch binary, short binary, shingles binary, bands array<long>")
+
+
+def test_buckets_led_by_strangers_link_their_members(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, rows = rng.integers(0, 1 << 32, 64, dtype=np.uint32), []
+    for k in range(16):  # a stranger leads every bucket
+        s = rng.integers(0, 1 << 32, 64, dtype=np.uint32)
+        s[4 * k : 4 * k + 4] = a[4 * k : 4 * k + 4]
+        rows.append((k, s, rng.integers(0, 1 << 32, 50)))
+    b = a.copy()
+    b[4:8] += 1
+    files = sketched(spark, [*rows, (100, a, np.arange(100)), (101, b, np.arange(10, 110))])
+    for block in (2048, 2):
+        monkeypatch.setattr(provenance, "BLOCK", block)
+        assert {r.id: r.family for r in provenance.families(files).collect()} == {k: k for k in range(16)} | {100: 100, 101: 100}
+
+
 def test_families_join_copies(spark):
     base = "def f(a):\n" + "".join(f"    if a == {i}:\n        return g({i}, [a])\n" for i in range(30))
     files = {f"d{i}/x.py": base.replace("a ==", f"v{i} ==") for i in range(6)} | {"other.py": "import os\n\nprint(os.getcwd(), [x for x in range(10) if x % 2])\n" * 6}
