@@ -2,7 +2,9 @@
 
 Every file is tokenised once.  Its tokens with identifiers, numbers and strings masked
 give shingles of five; one-permutation MinHash sketches of them are banded, all files of
-a band bucket are compared by sketch, those that agree in at least 0.8 are linked, and links are closed to families.  A family within one repository is the
+a band bucket are compared by sketch, those that may be alike are linked where their
+hashed shingle sets have a Jaccard similarity of at least 0.8, and links are closed to
+families.  A family within one repository is the
 work of a generator if its members carry its marks, a family across repositories a
 vendored copy if they carry a third party's, and a family of files that are all but
 literals is data.  Marks of a file itself settle the rest; that two repositories hold
@@ -27,6 +29,8 @@ from srcloom.runtime import cut
 SUFFIXES = ("py", "ts", "tsx", "js", "jsx")
 SHINGLE, SLOTS, ROWS = 5, 64, 4
 SIMILAR = 0.8
+#: Agreement of sketches (standard error 0.05 at SIMILAR) from which shingle sets are compared.
+MAYBE = 0.6
 #: Members of a band bucket that one task compares with as many others.
 BLOCK = 2048
 #: Share of a family's members with a mark from which it passes to the others.
@@ -153,7 +157,7 @@ def _describe_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a block's members whose sketches, a byte a slot, agree in at least SIMILAR."""
+    """Pairs (a, b) of a block's members whose sketches, a byte a slot, agree in at least MAYBE."""
     for batch in batches:
         members = batch.column(0)
         offsets = members.offsets.to_numpy() - members.offsets[0].as_py()
@@ -180,11 +184,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(ids: np.ndarray, short: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.concatenate(left), np.concatenate(right)
-    keep = (short[a] == short[b]).sum(axis=1, dtype=np.uint8) >= SIMILAR * SLOTS
+    keep = (short[a] == short[b]).sum(axis=1, dtype=np.uint8) >= MAYBE * SLOTS
     a, b = ids[a[keep]], ids[b[keep]]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["id", "lead"])
 
 
+def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        n, both = (len(x) + len(y)) // 4, np.concatenate([np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        out.append(common / (n - common))
+    return pd.Series(out, dtype="float64")
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
     """Distinct pairs (id, lead) of reps (id, bands, short) that share a bucket and may be alike.
 
@@ -204,14 +218,16 @@ def families(files: DataFrame) -> DataFrame:
     """(id, family): files (id, sketch, short, shingles, bands) whose masked shingles agree, closed over links.
 
     Files of equal sketches count as one.  Of the others all that share a bucket are
-    compared by sketch.  Closing takes the smallest id
+    compared, first by sketch, then by their shingle sets.  Closing takes the smallest id
     along links until nothing changes.
     """
     rep = files.groupBy("sketch").agg(F.min("id").alias("lead"))
     equal = cut(files.select("id", "sketch").join(rep, "sketch").select("id", "lead"))
     reps = files.join(equal.where("id = lead").select("id"), "id", "left_semi")
     pairs = cut(_candidates(reps.select("id", "bands", "short")))
-    linked = pairs.unionByName(equal.where("id != lead"))
+    sets = files.select("id", "shingles")
+    tested = pairs.join(sets, "id").join(sets.toDF("lead", "lead_shingles"), "lead")
+    linked = tested.where(F.pandas_udf(_jaccard, "double")("shingles", "lead_shingles") >= SIMILAR).select("id", "lead").unionByName(equal.where("id != lead"))
     both = cut(linked.unionByName(linked.select(F.col("lead").alias("id"), F.col("id").alias("lead"))))
     label = cut(files.select("id", F.col("id").alias("family")))
     while True:

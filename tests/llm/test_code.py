@@ -222,6 +222,15 @@ def test_buckets_led_by_strangers_link_their_members(spark, monkeypatch):
         assert {r.id: r.family for r in provenance.families(files).collect()} == {k: k for k in range(16)} | {100: 100, 101: 100}
 
 
+def test_links_are_verified_on_shingles(spark):
+    a = np.random.default_rng(6).integers(0, 1 << 32, 64, dtype=np.uint32)
+    b, c = a.copy(), a.copy()
+    b[4:20] += 1  # 0.75 of the slots agree, 0.82 of the shingles
+    c[30:35] += 1  # 0.92 of the slots agree, 0.67 of the shingles
+    files = sketched(spark, [(1, a, np.arange(100)), (2, b, np.arange(10, 110)), (3, c, np.arange(980, 1080) % 1000)])
+    assert {r.id: r.family for r in provenance.families(files).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_families_join_copies(spark):
     base = "def f(a):\n" + "".join(f"    if a == {i}:\n        return g({i}, [a])\n" for i in range(30))
     files = {f"d{i}/x.py": base.replace("a ==", f"v{i} ==") for i in range(6)} | {"other.py": "import os\n\nprint(os.getcwd(), [x for x in range(10) if x % 2])\n" * 6}
