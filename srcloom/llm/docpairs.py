@@ -73,16 +73,6 @@ def _mask(pattern: re.Pattern, text: str) -> tuple[str, list[tuple[int, int]], l
 _BRACKET = re.compile(r"[()\[\]{}]")
 
 
-def _close(masked: str, at: int, limit: int = 20_000) -> int:
-    """Position behind the bracket that closes the one at at, or -1."""
-    depth = 0
-    for m in _BRACKET.finditer(masked, at, at + limit):
-        depth += 1 if m.group() in "([{" else -1
-        if depth == 0:
-            return m.end()
-    return -1
-
-
 def _closes(masked: str) -> dict[int, int]:
     """Position behind the closing bracket of every bracket that is closed."""
     stack, out = [], {}
@@ -94,11 +84,11 @@ def _closes(masked: str) -> dict[int, int]:
     return out
 
 
-def _starts(masked: str, inside: list[int]) -> list[tuple[int, int]]:
+def _starts(masked: str, inside: list[int], closes: dict[int, int]) -> list[tuple[int, int]]:
     """(place, indentation) of the logical lines of a Python file that hold code."""
     joined = set(inside)
     at = 0
-    for a, b in sorted(_closes(masked).items()):
+    for a, b in sorted(closes.items()):
         if b > at:
             at = max(a, at)
             while 0 <= (at := masked.find("\n", at, b)):
@@ -132,15 +122,20 @@ def _python_end(text: str, masked: str, starts: list[tuple[int, int]], head: int
     return end
 
 
-def _angle(masked: str, at: int) -> int:
+def _angle(masked: str, at: int, closes: dict[int, int]) -> int:
     """Position behind a type parameter list at at."""
     if not masked.startswith("<", at):
         return at
-    depth = 0
-    for k in range(at, min(len(masked), at + 500)):
-        depth += (masked[k] == "<") - (masked[k] == ">" and masked[k - 1] != "=")
+    depth, k = 0, at
+    while m := re.compile(r"=>|[<>(\[{;)\]}]").search(masked, k):
+        mark, k = m.group(), m.end()
+        if mark in "([{":
+            k = closes.get(m.start(), -1)
+        if k < 0 or mark in ";)]}":
+            return at
+        depth += (mark == "<") - (mark == ">")
         if depth == 0:
-            return k + 1
+            return k
     return at
 
 
@@ -247,7 +242,8 @@ def _keys_for(path: str, here: str, modules: list[str], same: bool) -> list[str]
 def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     """Functions (name, line, kind, class, doc, start, end) and classes (name, bases) of a Python file."""
     masked, _, inside = _mask(_PY_MASK, text)
-    starts = _starts(masked, inside)
+    closes = _closes(masked)
+    starts = _starts(masked, inside, closes)
     functions, classes, stack = [], [], []
     found = list(_PY_DEF.finditer(masked))
     for m in found:
@@ -257,7 +253,7 @@ def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
         if m.group(4):
             bases = []
             if m.group(5) == "(":
-                end = _close(masked, m.end() - 1)
+                end = closes.get(m.end() - 1, -1)
                 bases = [re.sub(r"\s", "", b) for b in re.sub(r"\[[^\]]*\]", "", masked[m.end() : max(end - 1, m.end())]).split(",") if "=" not in b and b.strip()]
             classes.append((m.group(4), bases))
             stack.append((width, m.group(4), True))
@@ -265,7 +261,7 @@ def python_functions(text: str) -> tuple[list[tuple], list[tuple]]:
         owner = stack[-1][1] if stack and stack[-1][2] else None
         stack.append((width, m.group(3), False))
         name_at = m.start(3)
-        end = _close(masked, m.end() - 1)
+        end = closes.get(m.end() - 1, -1)
         if end < 0:
             continue
         colon = re.compile(r"[^:\n\[{(]*(?:[\[{(][^:]*?[\]})][^:\n\[{(]*)*:").match(masked, end)
@@ -310,7 +306,7 @@ def _behind_type(masked: str, at: int, closes: dict[int, int]) -> tuple[str, int
         if mark == "=>" or mark == "{" and not opens:
             return mark, a
         if mark == "<":
-            at = _angle(masked, a)
+            at = _angle(masked, a, closes)
             if at == a:
                 return None
         elif mark in "([{":
@@ -352,25 +348,25 @@ def _expression_end(text: str, masked: str, at: int, closes: dict[int, int], ins
 def _js_target(masked: str, at: int, closes: dict[int, int]) -> tuple[str, int, int, str] | None:
     """(name, place of the name, place of the body, kind) of a function that begins on the line at at."""
     if m := _JS_FUNC.match(masked, at):
-        kind, name, at_name, p = "function", m.group(1), m.start(1), _angle(masked, m.end())
+        kind, name, at_name, p = "function", m.group(1), m.start(1), _angle(masked, m.end(), closes)
     elif m := _JS_CONST.match(masked, at):
         name, at_name = m.group(1), m.start(1)
         if m.group(3).endswith("=>"):
             return name, at_name, m.end(), "function"
         if m.group(3):
-            p = _angle(masked, re.compile(r"\s*\*?\s*[\w$]*\s*").match(masked, m.end()).end())
+            p = _angle(masked, re.compile(r"\s*\*?\s*[\w$]*\s*").match(masked, m.end()).end(), closes)
             if not masked.startswith("(", p):
                 return None
             behind = _behind_type(masked, closes.get(p, p), closes)
             return name, at_name, behind[1] if behind else p, "function"
-        p = _close(masked, _angle(masked, m.end()))
+        p = closes.get(re.compile(r"\s*").match(masked, _angle(masked, m.end(), closes)).end(), -1)
         behind = _behind_type(masked, p, closes) if p > 0 else None
         return (name, at_name, behind[1] + 2, "function") if behind and behind[0] == "=>" else None
     elif (m := _JS_METHOD.match(masked, at)) and m.group(1) not in _NOT_METHOD:
-        kind, name, at_name, p = "method", m.group(1), m.start(1), _angle(masked, m.end())
+        kind, name, at_name, p = "method", m.group(1), m.start(1), _angle(masked, m.end(), closes)
     else:
         return None
-    p = _close(masked, p) if masked.startswith("(", p) else -1
+    p = closes.get(p, -1) if masked.startswith("(", p) else -1
     behind = _behind_type(masked, p, closes) if p > 0 else None
     return (name, at_name, behind[1], kind) if behind and behind[0] == "{" else None
 
@@ -381,7 +377,7 @@ def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     closes, inside = _closes(masked), set(inside)
     classes, spans = [], []
     for m in _JS_CLASS.finditer(masked):
-        end = _close(masked, m.end() - 1, len(masked))
+        end = closes.get(m.end() - 1, -1)
         spans.append((m.start(), end if end > 0 else len(masked), m.group(1)))
         classes.append((m.group(1), [m.group(2)] if m.group(2) else []))
     documented = {}

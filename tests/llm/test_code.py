@@ -165,6 +165,14 @@ def test_bases_may_form_a_circle(spark):
     assert docpairs.doc_pairs(chunks(spark, {"a.py": text})).isEmpty()
 
 
+def test_long_parameter_lists_keep_their_functions():
+    many = ",\n    ".join(f"argument_{k}: int = {k}" for k in range(1500))
+    assert [x[0] for x in docpairs.python_functions(f"def f({many}):\n    pass\n")[0]] == ["f"]
+    types = ", ".join(f"T{k} extends {{ a: string; b: () => void }}" for k in range(40))
+    text = f"/** Doc. */\nexport function g<{types}>(a: T1): void {{\n  h();\n}}\n"
+    assert [(x[0], text[x[-2] : x[-1]][-3:]) for x in docpairs.js_functions(text)[0]] == [("g", ";\n}")]
+
+
 def test_bases_are_those_of_the_file_and_its_imports(spark):
     base = lambda what: f'class Base:\n    def run(self):\n        """Runs {what} of the whole."""\n'
     child = "class Child(Base):\n    def run(self):\n        pass\n"
