@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -187,9 +188,9 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
             padded = f"\n\n{text}\n\n"
-            seen = {(padded[m.start() - 2 : m.start()], m.group(), padded[m.end() : m.end() + 2]) for m in RUN.finditer(padded)}
-            out += [(doc, source, *x) for x in seen]
-        yield pd.DataFrame(out, columns=["doc_id", "source", "before", "run", "after"])
+            seen = Counter((padded[m.start() - 2 : m.start()], m.group(), padded[m.end() : m.end() + 2]) for m in RUN.finditer(padded))
+            out += [(doc, source, *x, n) for x, n in seen.items()]
+        yield pd.DataFrame(out, columns=["doc_id", "source", "before", "run", "after", "times"])
 
 
 def _log_p(table: np.ndarray, total: float, text: str, start: int, less: int) -> float:
@@ -248,7 +249,8 @@ def _score(shared):
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, decisions) for docs (doc_id, source, text).
 
-    occurrences has each doc's distinct runs with two characters of context, decisions
+    occurrences has each doc's distinct runs with two characters of context and how often
+    they occur (times), decisions
     the reading of every run of a source that is taken for garbled.
     """
     spark = docs.sparkSession
@@ -260,9 +262,9 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     shared = spark.sparkContext.broadcast(table)
 
     key = ["before", "run", "after"]
-    occurrences = cut(texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(_runs, "doc_id long, source string, before string, run string, after string"))
-    types = occurrences.groupBy("source", *key).agg(F.count(F.lit(1)).alias("n"))
-    all_types = occurrences.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    occurrences = cut(texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(_runs, "doc_id long, source string, before string, run string, after string, times long"))
+    types = occurrences.groupBy("source", *key).agg(F.sum("times").alias("n"))
+    all_types = occurrences.groupBy(*key).agg(F.sum("times").alias("n"))
     scored = all_types.repartition(parallelism(spark), *key).mapInPandas(_score(shared), "before string, run string, after string, swap string, reading string, gain double")
     cases = cut(types.join(scored, key))
     runs = types.groupBy("source").agg(F.sum("n").alias("runs"))
