@@ -124,11 +124,3 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert restored >= len(truth) - 1
     assert {r.doc_id for r in encoding.garbled_ids(df).collect()} == set(got)
     assert encoding.repair(df.limit(0)).isEmpty()
-
-
-def test_a_word_repeated_in_one_text_does_not_attest_itself(spark):
-    good = "la t\u00eate de la reine est belle, et la f\u00eate est pour demain. "
-    bad = good.replace("\u00ea", "\u0119")
-    rows = [(k, "s", good * 30) for k in range(8)] + [(99, "s", bad * 30)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    assert {r.doc_id: r.restored for r in encoding.repair(docs).collect()} == {99: good * 30}
