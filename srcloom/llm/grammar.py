@@ -38,7 +38,7 @@ arg: expr | NAME = expr | * expr | ** expr | expr comp
 subs: sub ( , sub ) * , ?
 sub: expr | * expr | expr ? : expr ? ( : expr ? ) ?
 comp: ( async ? for exprs in disj ( if disj ) * ) +
-atom: NAME | CONST | NUM | STR + | ELL | PL PR | PL exprs comp ? PR | BL BR | BL exprs comp ? BR | CL CR | CL exprs comp ? CR | CL dict ( , dict ) * , ? CR | CL expr : expr comp CR
+atom: NAME | CONST | NUM | STR + | BYTES + | ELL | PL PR | PL exprs comp ? PR | BL BR | BL exprs comp ? BR | CL CR | CL exprs comp ? CR | CL dict ( , dict ) * , ? CR | CL expr : expr comp CR
 dict: expr : expr | ** expr
 params: param ( , param ) * , ?
 param: NAME ( : item ) ? ( = expr ) ? | * NAME ? ( : item ) ? | ** NAME ( : expr ) ? | BIN
@@ -111,6 +111,32 @@ field: ... assign | NAME | TYPEWORD NAME | ( NAME | CONST ) as ( NAME | default
 fkey: NAME | STR | NUM | BL expr BR | CONST
 """
 
+#: What TypeScript's interfaces, enumerations and types hold.  W is a word that can stand before or between types, BAR | or &.
+TYPES = """
+file: body END
+body: members | type | type ( , type ) *
+members: { mark * ( member mark + ) * member ? }
+mark: ; | , | NL
+name: NAME | W
+type: BAR ? unit ( ( BAR | W ) BAR ? unit ) * ( ? type : type ) ?
+unit: ( W | - ) * prime post *
+prime: name | STR | NUM | T | PL params PR ( => type ) ? | BL elems BR | members | < tparams > PL params PR => type
+post: . name | BL type ? BR | < type ( , type ) * , ? > | PL params PR | < tparams >
+params: ( param ( , param ) * , ? ) ?
+param: ... ? W * ( name | members | BL elems BR | STR ) qm ? ( : type ) ? ( = value ) ? | type
+tparams: W * NAME ( W type ) ? ( = type ) ? ( , W * NAME ( W type ) ? ( = type ) ? ) * , ?
+elems: ( elem ( , elem ) * , ? ) ?
+elem: ... ? ( name qm ? : ) ? type qm ?
+qm: ?
+member: W * key opt * ( < tparams > ) ? ( PL params PR ) ? ( : type ) ? | W * < tparams > PL params PR ( : type ) ? | W * PL params PR ( : type ) ? | sign ? W * BL NAME ( : | W ) type BR sign ? opt * ( : type ) ? | ... name | key = value
+sign: + | -
+opt: ? | !
+key: name | STR | NUM | BL ( name | STR ) post * BR | # name
+value: ( ~ | - | + | ! ) * operand ( oper ( ~ | - | + ) * operand ) *
+oper: BAR | + | - | STAR | / | % | < < | > > | > > > | ^
+operand: prime post *
+"""
+
 
 def _parse(text: str) -> dict[str, list]:
     """Bodies by rule; a rule's name is no token class."""
@@ -187,4 +213,8 @@ def _analyse(text: str) -> set[tuple[str, str]]:
 
 @lru_cache(maxsize=4)
 def permissible(language: str) -> frozenset[tuple[str, str]]:
-    return frozenset(_analyse({"python": PYTHON, "json": JSON, "script": SCRIPT}[language]))
+    pairs = _analyse({"python": PYTHON, "json": JSON, "script": SCRIPT}[language])
+    if language == "script":
+        plain = {"PL": "(", "PR": ")", "BL": "[", "BR": "]", "STAR": "*"}
+        pairs |= {(f"t.{plain.get(a, a)}", f"t.{plain.get(b, b)}") for a, b in _analyse(TYPES)}
+    return frozenset(pairs)

@@ -1,4 +1,4 @@
-"""Lexers that turn source text into token classes of srcloom.llm.grammar.
+"""Lexers that turn JSON and script text into token classes of srcloom.llm.grammar.
 
 Each returns (sequences, chains, faults): sequences of (class, line), the clause chains
 of statements as lists of (head, line), and lexical faults as (what, line).
@@ -7,140 +7,11 @@ of statements as lists of (head, line), and lexical faults as (what, line).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import repeat
 
 Sequences = list[list[tuple[str, int]]]
 
-_PY_KEYWORDS = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
-_PY = re.compile(
-    r"[ \t\f]*(?:(?P<name>(?![rRbBuUfFtT]{1,2}[\"'])[^\W\d]\w*)|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|:=|->|[+\-*/%&|^@=!<>]=|\*\*|//|<<|>>|[-+*/%&|^~<>@=,:;()\[\]{}]|\.(?!\d))|(?P<nl>\r?\n|\r)"
-    r"|(?P<str>(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))"
-    r"|(?P<num>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w]))"
-    r"|(?P<comment>#[^\n]*)|(?P<join>\\\r?\n)|(?P<end>\Z))"
-)
-_PY_BLANK = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?(?:\r?\n|\r))*")
-_PY_OP = {"(": "PL", ")": "PR", "[": "BL", "]": "BR", "{": "CL", "}": "CR", "...": "ELL", "->": "ARROW", "+": "UN", "-": "UN", "~": "UN"}
-for _o in "/ // % < > <= >= == != & | ^ << >>".split():
-    _PY_OP[_o] = "BIN"
-for _o in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split():
-    _PY_OP[_o] = "AUG"
-_HEADERS = {"if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "async"}
-_CLAUSES = {"if", "elif", "else", "for", "while", "try", "except", "finally"}
-
-
-def lex_python(text: str, suffix: str = "py") -> tuple[Sequences, list, list]:
-    out: list[tuple[str, int]] = [("START", 1)]
-    faults: list[tuple[str, int]] = []
-    chains: list[list[tuple[str, int]]] = []
-    indents, open_chain = [0], {0: None}
-    depth, line, at, begin, size = 0, 1, 0, True, len(text)
-    header, colons = False, 0
-    if text.startswith("﻿"):
-        at = 1
-    while at < size:
-        if begin and depth == 0:
-            m = _PY_BLANK.match(text, at)
-            if m.end() > at:
-                line += text.count("\n", at, m.end())
-                at = m.end()
-        m = _PY.match(text, at)
-        if not m:
-            faults.append(("character or unfinished literal", line))
-            at = text.find("\n", at)
-            if at < 0:
-                break
-            continue
-        kind = m.lastgroup
-        s = m.group(kind)
-        if kind == "end" or begin and depth == 0 and kind == "comment":
-            at = max(m.end(), at + 1)
-            continue
-        if kind == "join":
-            line += 1
-            at = m.end()
-            continue
-        at = m.start(kind)
-        if begin and depth == 0:
-            width = len(text[text.rfind("\n", 0, at) + 1 : at].replace("\f", "").expandtabs(8).lstrip("﻿"))
-            if width > indents[-1]:
-                indents.append(width)
-                open_chain[width] = None
-                out.append(("INDENT", line))
-            while width < indents[-1]:
-                open_chain.pop(indents.pop(), None)
-                out.append(("DEDENT", line))
-                if width > indents[-1]:
-                    faults.append(("dedent to no outer level", line))
-                    indents.append(width)
-                    open_chain[width] = None
-                    break
-            begin = False
-            header, colons = kind == "name" and s in _HEADERS, 0
-            head = s if kind == "name" and s in _CLAUSES else "other"
-            chain = open_chain.get(width)
-            if head in ("elif", "else", "except", "finally"):
-                if chain is None:
-                    chain = [("none", line)]
-                    chains.append(chain)
-                    open_chain[width] = chain
-                chain.append((head, line))
-            else:
-                if chain is not None and chain[-1][0] in ("try",):
-                    chain.append(("other", line))
-                chain = [(head, line)] if head in ("if", "for", "while", "try") else None
-                if chain:
-                    chains.append(chain)
-                open_chain[width] = chain
-            if kind == "name" and s in ("match", "case", "type"):
-                rest = text[m.end() : text.find("\n", m.end()) if "\n" in text[m.end() :] else size]
-                nxt = rest.lstrip()
-                if s == "type" and re.match(r"[^\W\d]\w*\s*[=\[]", nxt):
-                    out.append(("TYPE", line))
-                    at = m.end()
-                    continue
-                if s != "type" and nxt and not re.match(r"[=.,)\]:;]|[-+*/%&|^<>@]=|(?:in|is|and|or|if|not in)\b|[+/%&|^<>@]\s|\*\s", nxt) and (re.search(r":\s*(?:#.*)?$", nxt) or s == "case" and ":" in nxt or nxt[-1:] in "([{,"):
-                    out.append((s.upper(), line))
-                    header = True
-                    at = m.end()
-                    continue
-        if kind == "nl":
-            line += 1
-            if depth == 0:
-                if out[-1][0] == ":":
-                    out[-1] = ("CNL", out[-1][1])
-                else:
-                    out.append(("HNL" if header and colons <= 0 else "NL", line - 1))
-                begin = True
-        elif kind == "str":
-            if s[0] in "bB" and not s.isascii():
-                faults.append(("character", line))
-            out.append(("STR", line))
-            line += s.count("\n")
-        elif kind == "num":
-            if re.match(r"0\d*[1-9]\d*$", s.replace("_", "")):
-                faults.append(("number", line))
-            out.append(("NUM", line))
-        elif kind == "name":
-            colons -= s == "lambda" and depth == 0
-            out.append((s if s in _PY_KEYWORDS else "CONST" if s in ("None", "True", "False") else "DNAME" if out[-1][0] in ("def", "class") else "NAME", line))
-        elif kind == "op":
-            c = _PY_OP.get(s, s)
-            depth += c in ("PL", "BL", "CL")
-            depth = max(0, depth - (c in ("PR", "BR", "CR")))
-            colons += c == ":" and depth == 0
-            out.append((c, line))
-        at = m.end()
-    if not begin:
-        if out[-1][0] == ":":
-            out[-1] = ("CNL", line)
-        elif out[-1][0] != "START":
-            out.append(("HNL" if header and colons <= 0 else "NL", line))
-    for c in open_chain.values():
-        if c is not None and c[-1][0] == "try":
-            c.append(("other", line))
-    out += [("DEDENT", line)] * (len(indents) - 1) + [("END", line)]
-    return [out], chains, faults
-
-
 _JSON = re.compile(r"(?P<space>[ \t]+)|(?P<nl>\r?\n|\r)|(?P<str>\"(?:[^\"\\\x00-\x1f]|\\[\"\\/bfnrt]|\\u[0-9a-fA-F]{4})*\")|(?P<num>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<const>(?:true|false|null)\b)|(?P<op>[{}\[\],:])")
 
 
@@ -167,8 +38,6 @@ def lex_json(text: str, suffix: str = "json") -> tuple[Sequences, list, list]:
             elif s in "}]" and stack:
                 stack.pop()
             c = {"{": "OL", "}": "OR", "[": "BL", "]": "BR"}.get(s, s)
-            if s == "," and stack[-1:] == ["["] and False:
-                c = ","
             out.append((c, line))
     out.append(("END", line))
     # In an object a comma is followed by a key, in a list by a value.
@@ -183,12 +52,14 @@ def lex_json(text: str, suffix: str = "json") -> tuple[Sequences, list, list]:
     return [out], [], faults
 
 
-_NAME = re.compile(r"[^\W\d][\w$]*|\$[\w$]*|#[^\W\d][\w$]*")
+_NAME = re.compile(r"[A-Za-z_$][\w$]*+|#?[^\W\d][\w$]*+")
+_MARKS = frozenset("(){}[];:?=.,+-*/%&|^~<>!@\"'`0123456789")
 _JS_NUM = re.compile(r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$])")
 _JS_STR = re.compile(r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
 _JS_RE = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*(?![\w$])")
 _JS_OP = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^!~<>=?:;,.(){}\[\]@]")
-_GAP = re.compile(r"(?:[ \t\f\v\xa0﻿]+|//[^\n]*|/\*[\s\S]*?\*/|(\r?\n|\r| ))")
+_GAP = re.compile(r"(?:[ \t\f\v\xa0\ufeff]++|//[^\n]*+|/\*[\s\S]*?\*/|\r?\n|[\r\u2028])*+")
+_LINE_END = re.compile(r"[\n\r\u2028]")
 _DECORATOR = re.compile(r"@\s*[\w$]+(?:\s*\.\s*[\w$]+)*")
 _JS_KEYWORDS = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return switch throw try typeof var void while with yield await".split())
 #: Words that can be more than a name.
@@ -196,10 +67,60 @@ _SPECIAL = _JS_KEYWORDS | frozenset("null true false of from as satisfies async
 _OPERAND = frozenset("NAME CONST NUM STR TPL RE JSX PR BR OR BANG INC TYPE GEN".split())
 _BINARY = frozenset("* / % ** < > <= >= == != === !== && || ?? & | ^ << >> >>> instanceof".split())
 _ASSIGN = frozenset("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
+_ATOM = (
+    rf"(?!(?:{'|'.join(sorted(_SPECIAL))})(?![\w$]))[A-Za-z_$][\w$]*+|\"(?:[^\"\\\n]|\\[^\n])*+\"|'(?:[^'\\\n]|\\[^\n])*+'|(?:0|[1-9][0-9]*+)(?![\w.$])"
+    r"|>>>=|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|\.\.\.|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+=|-=|\*=|%=|&=|\|=|\^=|<<|>>|\*\*|[%&|^>~=,]|\.[ \t]*+(?:[A-Za-z_$][\w$]*+)?(?!\d)|[+](?!\+)|-(?!-)"
+)
+_INNER = rf"(?:[ \t]|{_ATOM}|\((?:[ \t]|{_ATOM})*+\)|\[(?:[ \t]|{_ATOM})*+\])*+"
+#: Runs of tokens on one line whose classes do not depend on what stands around the run.
+_RUN = re.compile(rf"(?:[ \t]*+(?:{_ATOM}|\({_INNER}\)|\[{_INNER}\]))++")
+_IN_RUN = re.compile(_ATOM.replace("[ \\t]*+(?:[A-Za-z_$][\\w$]*+)?", "") .split("(?![\\w$]))", 1)[1] + r"|[()\[\]]")
+#: Behind these a statement starts, or a word is no plain name.
+_STARTING = frozenset("START NL ; GL GR LAB else do export declare default".split())
+
+
+class _Plain(dict):
+    """Class of a token of a run."""
+
+    def __missing__(self, s: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+            self.update(_PLAIN_CLASSES)
+        c = s[0]
+        self[s] = got = "STR" if c in "\"'" else "NUM" if c.isdigit() else "NAME" if c.isalpha() or c in "_$" else s
+        return got
+
+
+_PLAIN_CLASSES = {"~": "UN", "+": "UN2", "-": "UN2", "(": "PL", ")": "PR", "[": "BL", "]": "BR", **{o: "BIN" for o in _BINARY}, **{o: "ASG" for o in _ASSIGN}}
+_plain = _Plain(_PLAIN_CLASSES).__getitem__
 _TYPE_BALANCED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*[\s\S]*?\*/|=>|[()\[\]{}<>]")
 _PAIRED = {")": "(", "]": "[", "}": "{", ">": "<"}
 
 
+_LOOK_0 = re.compile(r"(?:keyof|typeof|readonly|unique|infer|asserts|new|abstract)\b(?!\s*[,;)=>|&\]])\s*|[|&]\s*")
+_LOOK_1 = re.compile(r"-?\d[\w.]*")
+_LOOK_2 = re.compile(r"\s*\.\s*[\w$]+")
+_LOOK_3 = re.compile(r"is\b|extends\b")
+_LOOK_4 = re.compile(r"<\s*([\w$.:-]*)")
+_LOOK_5 = re.compile(r"[\w$:-]+\s*(=\s*)?")
+_LOOK_6 = re.compile(r"\"[^\"]*\"|'[^']*'")
+_LOOK_7 = re.compile(r"[^<{}>]*")
+_LOOK_8 = re.compile(r"<\s*/\s*([\w$.:-]*)\s*>")
+_LOOK_9 = re.compile(r"enum\b")
+_LOOK_10 = re.compile(r"[\w$]+\s*")
+_LOOK_11 = re.compile(r"<[\w$\s,.\[\]|&<>{}:;\"'?=()-]*?>(?=\s*\()")
+_LOOK_12 = re.compile(r"\s*\{")
+_LOOK_13 = re.compile(r"(?:catch|finally)\b")
+
+
+_CODE_MARK = re.compile(r"\\.|\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+'|/\*[\s\S]*?\*/|\$\{|[{}`]", re.DOTALL)
+_TYPE_TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|[\w$#]+|\.\.\.|=>|[^\s]")
+#: Words of types that can stand beside another name.
+_TYPE_WORDS = frozenset("keyof typeof readonly unique infer asserts new abstract get set is extends in as out const public private protected static async override declare accessor import".split())
+_TYPE_ENDS = frozenset("NAME W STR NUM T ) ] } > ? !".split())
+_TYPE_STARTS = frozenset("NAME W STR NUM [ ( < + -".split())
+
+
 class _Script:
     """One pass over a TypeScript or JavaScript text with the bracket context that tells tokens apart."""
 
@@ -208,16 +129,20 @@ class _Script:
         self.sequences: Sequences = []
         self.chains: list[list[tuple[str, int]]] = []
         self.faults: list[tuple[str, int]] = []
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+        self.todo = [(0, len(text), "START", "END")]  # stretches still to be lexed: expressions inside templates and elements are sequences of their own
+        self.declared = False
 
     def line(self, at: int) -> int:
-        return self.t.count("\n", 0, at) + 1
+        return bisect_left(self.ends, at) + 1
+
+    def lex(self) -> None:
+        while self.todo:
+            self.run(*self.todo.pop())
 
     def gap(self, at: int) -> tuple[int, bool]:
-        new = False
-        while m := _GAP.match(self.t, at):
-            new = new or bool(m.group(1)) or "\n" in m.group()
-            at = m.end()
-        return at, new
+        m = _GAP.match(self.t, at)
+        return m.end(), m.end() > at and bool(_LINE_END.search(m.group()))
 
     def balanced(self, at: int, angle: bool = False) -> int:
         stack = []
@@ -241,7 +166,7 @@ class _Script:
         """Place behind the type expression at at, or -1."""
         while True:
             at, _ = self.gap(at)
-            while m := re.compile(r"(?:keyof|typeof|readonly|unique|infer|asserts|new|abstract)\b(?!\s*[,;)=>|&\]])\s*|[|&]\s*").match(self.t, at):
+            while m := _LOOK_0.match(self.t, at):
                 at = m.end()
             c = self.t[at : at + 1]
             if c in ("(", "{", "["):
@@ -251,14 +176,15 @@ class _Script:
                 at = end
                 nxt, _ = self.gap(at)
                 if c == "(" and self.t.startswith("=>", nxt):
-                    return self.type(nxt + 2)
+                    at = nxt + 2
+                    continue
             elif c == "<":
                 end = self.balanced(at, True)
                 if end < 0:
                     return -1
                 at = end
                 continue
-            elif m := _JS_STR.match(self.t, at) or re.compile(r"-?\d[\w.]*").match(self.t, at):
+            elif m := _JS_STR.match(self.t, at) or _LOOK_1.match(self.t, at):
                 at = m.end()
             elif c == "`":
                 at = self.t.find("`", at + 1) + 1
@@ -266,7 +192,11 @@ class _Script:
                     return -1
             elif m := _NAME.match(self.t, at):
                 at = m.end()
-                while m := re.compile(r"\s*\.\s*[\w$]+").match(self.t, at):
+                if m.group() == "import" and self.t.startswith("(", self.gap(at)[0]):
+                    at = self.balanced(self.gap(at)[0])
+                    if at < 0:
+                        return -1
+                while m := _LOOK_2.match(self.t, at):
                     at = m.end()
             else:
                 return -1
@@ -279,19 +209,18 @@ class _Script:
                     continue
                 break
             nxt, new = self.gap(at)
-            if m := re.compile(r"is\b|extends\b").match(self.t, nxt):
+            if m := _LOOK_3.match(self.t, nxt):
                 at = self.type(m.end())
                 if at < 0:
                     return -1
                 nxt, new = self.gap(at)
                 if m.group() == "extends" and self.t.startswith("?", nxt):
-                    for mark in "?:":
-                        nxt, _ = self.gap(at)
-                        if not self.t.startswith(mark, nxt):
-                            return -1
-                        at = self.type(nxt + 1)
-                        if at < 0:
-                            return -1
+                    at = self.type(nxt + 1)
+                    nxt, _ = self.gap(at) if at >= 0 else (-1, False)
+                    if at < 0 or not self.t.startswith(":", nxt):
+                        return -1
+                    at = nxt + 1  # the last branch is a type like any other
+                    continue
                 nxt, new = self.gap(at)
             if self.t[nxt : nxt + 1] in ("|", "&") and self.t[nxt : nxt + 2] not in ("||", "&&"):
                 at = nxt
@@ -301,9 +230,10 @@ class _Script:
     def inner(self, a: int, b: int, spread: bool = False) -> None:
         """Lex the expression between a and b as a sequence of its own."""
         if self.gap(a)[0] < b:
-            self.run(a, b, "PL", "PR")
+            self.todo.append((a, b, "PL", "PR"))
 
     def template(self, at: int) -> int:
+        """Place behind the template at at, or -1; its expressions are to be lexed."""
         k = at + 1
         while k < len(self.t):
             c = self.t[k]
@@ -324,100 +254,118 @@ class _Script:
         return -1
 
     def code_block(self, at: int) -> int:
-        """Place behind the brace that closes the one at at, over strings and templates."""
-        depth, k = 0, at
-        while k < len(self.t):
-            c = self.t[k]
-            if c in "\"'":
-                m = _JS_STR.match(self.t, k)
-                if not m:
-                    return -1
-                k = m.end()
-                continue
-            if c == "`":
-                k = self.skip_template(k)
-                if k < 0:
-                    return -1
-                continue
-            if self.t.startswith("/*", k):
-                k = self.t.find("*/", k) + 2
-                if k < 2:
-                    return -1
-                continue
-            depth += (c == "{") - (c == "}")
-            k += 1
-            if depth == 0:
-                return k
-        return -1
-
-    def skip_template(self, at: int) -> int:
-        k = at + 1
-        while k < len(self.t):
-            if self.t[k] == "\\":
-                k += 2
-            elif self.t[k] == "`":
-                return k + 1
-            elif self.t.startswith("${", k):
-                k = self.code_block(k + 1)
-                if k < 0:
-                    return -1
-            else:
-                k += 1
+        """Place behind the brace or back tick that closes the one at at, over strings and templates inside, or -1."""
+        t, open_ = self.t, []
+        for m in _CODE_MARK.finditer(t, at):
+            s = m.group()
+            if open_ and open_[-1] == "`":
+                if s == "${":
+                    open_.append("{")
+                elif s[0] == "`":
+                    open_.pop()
+            elif s in ("{", "${", "`"):
+                open_.append(s[-1])
+            elif s == "}":
+                open_.pop()
+            elif s[0] == "\"" or s[0] == "'":
+                pass  # a string; a quote by itself stands in the text of an element
+            if not open_:
+                return m.end()
         return -1
 
     def element(self, at: int) -> int:
-        """Place behind the JSX element at at, or -1."""
-        m = re.compile(r"<\s*([\w$.:-]*)").match(self.t, at)
-        name, k = m.group(1), m.end()
-        while name:
-            k, _ = self.gap(k)
-            if self.t.startswith("/>", k):
-                return k + 2
-            if self.t.startswith(">", k):
-                break
-            if self.t.startswith("{", k):
-                end = self.code_block(k)
-                if end < 0:
+        """Place behind the JSX element at at, or -1; elements inside it are kept on a stack of names."""
+        t, names, k = self.t, [], at
+        while True:
+            # An opening tag at k.
+            m = _LOOK_4.match(t, k)
+            name, k = m.group(1), m.end()
+            while name:
+                k, _ = self.gap(k)
+                if t.startswith("/>", k) or t.startswith(">", k):
+                    break
+                if t.startswith("{", k):
+                    end = self.code_block(k)
+                    if end < 0:
+                        return -1
+                    k = end
+                    continue
+                a = _LOOK_5.match(t, k)
+                if not a:
                     return -1
-                k = end
-                continue
-            a = re.compile(r"[\w$:-]+\s*(=\s*)?").match(self.t, k)
-            if not a:
+                k = a.end()
+                if a.group(1):
+                    if s := _LOOK_6.match(t, k):
+                        k = s.end()
+                    elif t.startswith("{", k):
+                        end = self.code_block(k)
+                        if end < 0:
+                            return -1
+                        self.inner(k + 1, end - 1)
+                        k = end
+                    else:
+                        return -1
+            if name and t.startswith("/>", k):
+                k += 2
+            elif t.startswith(">", k):
+                names.append(name)
+                k += 1
+            else:
                 return -1
-            k = a.end()
-            if a.group(1):
-                s = re.compile(r"\"[^\"]*\"|'[^']*'").match(self.t, k)
-                if s:
-                    k = s.end()
-                elif self.t.startswith("{", k):
+            # Text, expressions and closing tags up to the next opening tag.
+            while names:
+                k = _LOOK_7.match(t, k).end()
+                c = t[k : k + 1]
+                if c == "{":
                     end = self.code_block(k)
                     if end < 0:
                         return -1
                     self.inner(k + 1, end - 1)
                     k = end
+                elif c == "<":
+                    close = _LOOK_8.match(t, k)
+                    if not close:
+                        break
+                    if close.group(1) != names.pop():
+                        return -1
+                    k = close.end()
                 else:
                     return -1
-        if not self.t.startswith(">", k):
-            return -1
-        k += 1
-        while True:
-            m = re.compile(r"[^<{}>]*").match(self.t, k)
-            k = m.end()
-            c = self.t[k : k + 1]
-            if c == "{":
-                end = self.code_block(k)
-                if end < 0:
-                    return -1
-                self.inner(k + 1, end - 1)
-                k = end
-            elif c == "<":
-                if close := re.compile(r"<\s*/\s*([\w$.:-]*)\s*>").match(self.t, k):
-                    return close.end() if close.group(1) == name else -1
-                k = self.element(k)
-                if k < 0:
-                    return -1
-            else:
-                return -1
+            if not names:
+                return k
+
+    def types(self, a: int, b: int) -> None:
+        """Lex the types between a and b as a sequence of its own classes."""
+        out, line, at, last = [("t.START", self.line(a))], self.line(a), a, ""
+        for m in _TYPE_TOKEN.finditer(self.t, a, b):
+            s = m.group()
+            skipped = self.t.count("\n", at, m.start())
+            line, at = line + skipped, m.start()
+            if s.startswith(("//", "/*")):
+                continue
+            c = s[0]
+            kind = "T" if c == "`" else "STR" if c in "\"'" and len(s) > 1 else "NUM" if c.isdigit() else "W" if s in _TYPE_WORDS else "NAME" if c.isalpha() or c in "_$#" else "BAR" if s in "|&" else s
+            if (skipped or self.t.count("\n", last_end, m.start()) if last else False) and last in _TYPE_ENDS and kind in _TYPE_STARTS:
+                out.append(("t.NL", line))
+            out.append(("t." + kind, line))
+            last, last_end = kind, m.end()
+        out.append(("t.END", line))
+        self.sequences.append(out)
+
+    def targets(self, out: list[tuple[str, int]]) -> None:
+        """Faults of assignments to calls and of constants without a value, from windows of a lexed sequence."""
+        classes = [c for c, _ in out]
+        for k in [k for k in range(1, len(classes)) if classes[k] in ("=", "ASG") and classes[k - 1] == "PR"]:
+            depth, j = 0, k - 1
+            while j >= 0:
+                depth += (classes[j] == "PR") - (classes[j] == "PL")
+                if depth == 0:
+                    break
+                j -= 1
+            if j > 0 and classes[j - 1] in ("NAME", "PR", "BR"):
+                self.faults.append(("assignment target", out[k][1]))
+        if not self.declared:
+            self.faults += [("constant without a value", out[k][1]) for k in range(len(out) - 2) if classes[k] == "const" and classes[k + 1] == "NAME" and classes[k + 2] in (";", "NL", "GR", "END")]
 
     def run(self, at: int, end: int, first: str = "START", final: str = "END") -> None:
         t, ts = self.t, self.ts
@@ -432,7 +380,13 @@ class _Script:
         def put(c: str) -> None:
             out.append((c, line))
 
+        run, inside = _RUN.match, _IN_RUN.findall
         while True:
+            prev, kind = out[-1][0], stack[-1]["kind"]
+            if not pending and (kind in ("PL", "BL", "O") or kind == "G" and prev not in _STARTING) and (m := run(t, at, end)):
+                out.extend(zip(map(_plain, inside(t, at, m.end())), repeat(line)))
+                at = m.end()
+                continue
             c = t[at : at + 1]
             if c == " ":
                 at += 1
@@ -447,7 +401,7 @@ class _Script:
                     break
                 line += t.count("\n", seen, at)
                 seen = at
-            prev, top = out[-1][0], stack[-1]
+            top = stack[-1]
             c = t[at]
             operand = prev in _OPERAND or prev == "GR" and top["kind"] not in ("G", "C")
             if new and top["kind"] in ("G", "C") and (prev in _OPERAND or prev in ("break", "continue", "return", "debugger", "GR")) and (c.isalnum() or c in "_$\"'`{@!~#[*" or t.startswith("++", at) or t.startswith("--", at)):
@@ -462,7 +416,7 @@ class _Script:
             starts = prev in ("START", "NL", ";", "GL", "GR", "LAB") or prev == "PR" and pending == "body"
             if starts and top["kind"] in ("G", "C") and prev != "LAB":
                 top["stmt"] = ""
-            if m := _NAME.match(t, at):
+            if c not in _MARKS and (m := _NAME.match(t, at)):
                 w, after = m.group(), m.end()
                 if prev in (".", "?.") or w not in _SPECIAL and (top["kind"] in ("PL", "BL") or top["kind"] == "G" and not starts and prev not in ("else", "do", "export", "GR", "declare", "default")):
                     at = after
@@ -506,17 +460,19 @@ class _Script:
                     put("TYPE")
                     continue
                 if ts and starts or ts and prev in ("export", "declare", "default"):
-                    if w in ("interface", "enum", "namespace", "module") and (n1.isalpha() or n1 in "_$\"'") or w == "const" and re.compile(r"enum\b").match(t, nxt):
+                    if w in ("interface", "enum", "namespace", "module") and (n1.isalpha() or n1 in "_$\"'") or w == "const" and _LOOK_9.match(t, nxt):
                         b = t.find("{", after)
                         e = self.balanced(b) if b > 0 else -1
                         if e < 0:
                             self.faults.append(("declaration", line))
                             break
+                        if w in ("interface", "enum", "const"):
+                            self.types(b, e)
                         at = e
                         put("TYPE")
                         put(";")
                         continue
-                    if w == "type" and (n1.isalpha() or n1 in "_$") and (m2 := re.compile(r"[\w$]+\s*").match(t, nxt)):
+                    if w == "type" and (n1.isalpha() or n1 in "_$") and (m2 := _LOOK_10.match(t, nxt)):
                         b = m2.end()
                         if t.startswith("<", b):
                             b = self.balanced(b, True)
@@ -525,10 +481,12 @@ class _Script:
                         if e < 0:
                             self.faults.append(("declaration", line))
                             break
+                        self.types(b + 1, e)
                         at = e
                         put("TYPE")
                         continue
                     if w == "declare" and (n1.isalpha()):
+                        self.declared = True
                         continue
                     if w == "abstract" and t.startswith("class", nxt):
                         put("abstract")
@@ -538,6 +496,7 @@ class _Script:
                     if b < 0:
                         self.faults.append(("class", line))
                         break
+                    self.types(after, b)
                     at = b
                     put("TYPE")
                     continue
@@ -596,7 +555,7 @@ class _Script:
                 at = m.end()
                 continue
             if c == "<":
-                if ts and (m := re.compile(r"<[\w$\s,.\[\]|&<>{}:;\"'?=()-]*?>(?=\s*\()").match(t, at)) and (prev in ("NAME", "function", "PL", "=", ",", "=>", "return", "MOD", "async", "START") or class_head):
+                if ts and (m := _LOOK_11.match(t, at)) and (prev in ("NAME", "function", "PL", "=", ",", "=>", "return", "MOD", "async", "START") or class_head):
                     e = self.balanced(at, True)
                     if e > 0 and t[self.gap(e)[0] : self.gap(e)[0] + 1] == "(":
                         put("GEN")
@@ -641,7 +600,7 @@ class _Script:
                     gone = stack.pop()
                     if s == ")" and gone["word"] in ("if", "while", "for", "switch", "catch", "with"):
                         pending = gone["word"]
-                        if gone["word"] in ("if", "while", "for", "with") and not re.compile(r"\s*\{").match(t, at):
+                        if gone["word"] in ("if", "while", "for", "with") and not _LOOK_12.match(t, at):
                             pending = "body"
             elif s == "{":
                 if pending == "body":
@@ -671,7 +630,7 @@ class _Script:
                         chain = [("if", line)]
                     stack[-1]["chain"] = chain
                     nxt, _ = self.gap(at)
-                    if chain[-1][0] == "try" and not re.compile(r"(?:catch|finally)\b").match(t, nxt):
+                    if chain[-1][0] == "try" and not _LOOK_13.match(t, nxt):
                         self.chains.append([*chain, ("other", line)])
                         stack[-1]["chain"] = None
                 elif gone:
@@ -727,6 +686,7 @@ class _Script:
                     pending = ""
         line += t.count("\n", seen, min(at, end))
         put(final)
+        self.targets(out)
 
     def word(self, w: str, put, top: dict, n1: str, t: str, nxt: int, operand: bool) -> None:
         if w in ("null", "true", "false"):
@@ -749,8 +709,8 @@ class _Script:
 
 def lex_script(text: str, suffix: str) -> tuple[Sequences, list, list]:
     s = _Script(text, suffix)
-    s.run(0, len(text))
+    s.lex()
     return s.sequences, s.chains, s.faults
 
 
-LEXERS = {"py": (lex_python, "python"), "json": (lex_json, "json"), **{x: (lex_script, "script") for x in ("ts", "tsx", "js", "jsx")}}
+LEXERS = {"json": (lex_json, "json"), **{x: (lex_script, "script") for x in ("ts", "tsx", "js", "jsx")}}
