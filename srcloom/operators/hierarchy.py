@@ -3,17 +3,18 @@
 Every round rakes the leaves and compresses an independent set of unary chain
 nodes, so a tree of n nodes is gone after O(log n) rounds whatever its depth.
 Each removed node is recorded with the node it hung on, the number of steps and
-the path between them; replaying the records backwards gives every node its
-root, depth and path.  What cannot contract away is a self-loop: the core of a
-cycle.  Rounds work on (long id, long parent) rows only; names come back at the
-end.  Per round the state is cut as a table in the checkpoint folder.
+the path between them.  A record hangs on a node removed in a later round, so a
+chain of records is no longer than the number of rounds and doubling resolves it
+in a few joins.  What cannot contract away is a self-loop: the core of a cycle.
+Rounds work on (long id, long parent) rows only; names come back at the end.  Per
+round one state is written in the checkpoint folder.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from srcloom.runtime import cut
@@ -44,28 +45,25 @@ def contract(links: DataFrame, with_paths: bool = True) -> DataFrame:
     not allowed.  path lists the names from the root to the node.
     """
     seg = F.array(F.col("name")) if with_paths else F.array().cast("array<string>")
+    open_ = F.col("p").isNotNull() & (F.col("p") != F.col("id"))
     live = cut(links.select("id", "p", F.lit(1).cast("long").alias("w"), seg.alias("seg")))
     records: list[DataFrame] = []
-    round_no = 0
-    while not live.where(F.col("p").isNotNull() & (F.col("p") != F.col("id"))).isEmpty():
-        round_no += 1
-        parents = live.where(F.col("p").isNotNull()).groupBy(F.col("p").alias("id")).agg(F.lit(True).alias("inner_node"))
-        marked = live.join(parents, "id", "left")
-        marked = cut(marked.withColumn("leaf", F.col("p").isNotNull() & F.col("inner_node").isNull()).drop("inner_node"))
-        leaves, kept = marked.where("leaf").drop("leaf"), marked.where("NOT leaf").drop("leaf")
-        # Unary: exactly one child that is no leaf.  Those that draw higher than both neighbours are an independent set.
-        unary = kept.where("p IS NOT NULL AND p != id").groupBy(F.col("p").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("child")).where("n = 1")
-        inner = kept.where("p IS NOT NULL AND p != id").join(unary.select("id", "child"), "id")
+    left = live.where(open_).limit(1).count()
+    while left:
+        round_no = len(records) + 1
+        children = live.where("p IS NOT NULL").groupBy(F.col("p").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("child"))
+        # Of the nodes with one child those that draw higher than both neighbours are an independent set.
         mine = _draw(F.col("id"), round_no)
-        high = (mine > _draw(F.col("p"), round_no)) & ((F.col("child") == F.col("p")) | (mine > _draw(F.col("child"), round_no)))
-        gone = cut(inner.where(high).drop("child"))
-        hop = gone.select(F.col("id").alias("p"), F.col("p").alias("up"), F.col("w").alias("w_up"), F.col("seg").alias("seg_up"))
-        left = leaves.withColumn("alive", F.lit(False)).unionByName(kept.join(gone.select("id"), "id", "left_anti").withColumn("alive", F.lit(True)))
-        lifted = left.join(hop, "p", "left").select(
+        high = (F.col("n") == 1) & open_ & (mine > _draw(F.col("p"), round_no)) & ((F.col("child") == F.col("p")) | (mine > _draw(F.col("child"), round_no)))
+        marked = live.join(children, "id", "left").select("id", "p", "w", "seg", (F.col("p").isNotNull() & F.col("n").isNull()).alias("leaf"), F.coalesce(high, F.lit(False)).alias("gone"))
+        hop = marked.where("gone").select(F.col("id").alias("p"), F.col("p").alias("up"), F.col("w").alias("w_up"), F.col("seg").alias("seg_up"))
+        lifted = marked.join(hop, "p", "left").select(
             "id", F.coalesce("up", "p").alias("p"), (F.col("w") + F.coalesce("w_up", F.lit(0))).alias("w"),
-            F.when(F.col("up").isNull(), F.col("seg")).otherwise(F.concat("seg_up", "seg")).alias("seg"), "alive",
+            F.when(F.col("up").isNull(), F.col("seg")).otherwise(F.concat("seg_up", "seg")).alias("seg"), (~F.col("leaf") & ~F.col("gone")).alias("alive"),
         )
-        state = cut(lifted.unionByName(gone.withColumn("alive", F.lit(False))))
+        seen = Observation()
+        state = cut(lifted.observe(seen, F.count(F.when(F.col("alive") & open_, 1)).alias("open")))
+        left = seen.get["open"]
         records.append(state.where("NOT alive").drop("alive"))
         live = state.where("alive").drop("alive")
 
@@ -74,16 +72,19 @@ def contract(links: DataFrame, with_paths: bool = True) -> DataFrame:
         "id", F.when(is_root, F.col("id")).alias("root"), F.when(is_root, F.lit(0)).otherwise(F.lit(-1)).cast("long").alias("depth"),
         F.when(is_root, F.col("seg")).alias("path"),
     )
-    parts = [done]
-    for rec in reversed(records):
-        known = reduce(DataFrame.unionByName, parts)
-        up = known.select(F.col("id").alias("p"), "root", F.col("depth").alias("d"), F.col("path").alias("above"))
-        rows = rec.join(up, "p").select(
-            "id", "root", F.when(F.col("root").isNull(), F.lit(-1)).otherwise(F.col("d") + F.col("w")).cast("long").alias("depth"),
-            F.when(F.col("root").isNotNull(), F.concat("above", "seg")).alias("path"),
-        )
-        parts.append(cut(rows))
-    return reduce(DataFrame.unionByName, parts)
+    if not records:
+        return done
+    chain = reduce(DataFrame.unionByName, records)
+    for _ in range((len(records) - 1).bit_length()):  # doubling: every step halves what is left of a chain
+        up = chain.select(F.col("id").alias("p"), F.col("p").alias("up"), F.col("w").alias("w_up"), F.col("seg").alias("seg_up"))
+        chain = cut(chain.join(up, "p", "left").select(
+            "id", F.coalesce("up", "p").alias("p"), (F.col("w") + F.coalesce("w_up", F.lit(0))).alias("w"), F.when(F.col("up").isNull(), F.col("seg")).otherwise(F.concat("seg_up", "seg")).alias("seg"),
+        ))
+    top = done.select(F.col("id").alias("p"), "root", F.col("path").alias("above"))
+    hung = chain.join(top, "p").select(
+        "id", "root", F.when(F.col("root").isNull(), F.lit(-1)).otherwise(F.col("w")).cast("long").alias("depth"), F.when(F.col("root").isNotNull(), F.concat("above", "seg")).alias("path")
+    )
+    return done.unionByName(hung)
 
 
 def hierarchy(edges: DataFrame, edge_type: str = "reexport", with_paths: bool = True) -> DataFrame:
