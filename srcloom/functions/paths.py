@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pruned directories, kept and skipped suffixes, languages by suffix.
+#: Pruned directories, kept suffixes, languages by suffix.
 SKIP_DIRS = (".git", "node_modules", "dist", "build", "__pycache__", ".venv", "venv", ".env", "coverage", ".next", ".nuxt", "target", "out", "bin", "obj", ".idea", ".vscode")
 INCLUDE_SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx", ".md", ".txt", ".yaml", ".yml", ".toml", ".json")
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".md": "markdown"}

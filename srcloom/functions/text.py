@@ -22,10 +22,6 @@ def load_text(content: Column) -> Column:
     return F.when(F.instr(text, "\x00") == 0, universal_newlines(text))
 
 
-def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
-
-
 def line_of_offset(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based code point offset."""
     head = F.substring(text, F.lit(1), offset.cast("int"))
@@ -41,6 +37,11 @@ def cli_snippet(content: Column) -> Column:
     return F.regexp_replace(F.substring(snippet(content), 1, CLI_SNIPPET_CHARS), r"^[\s\x1c-\x1f\u0085\p{Z}]+|[\s\x1c-\x1f\u0085\p{Z}]+$", "")
 
 
+def score_text(score: Column, digits: int = 3) -> Column:
+    """A score with a fixed number of decimals: three of similarities, two of confidences."""
+    return F.format_string(f"%.{digits}f", score)
+
+
 # The formats of prompts and their blocks.
 
 

@@ -10,10 +10,6 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
     d = doubles(v)

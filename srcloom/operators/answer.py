@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from srcloom.functions import text as T
 
 SYSTEM_PROMPT = "Answer questions about source code from the given excerpts alone. Cite the excerpts that support each statement and say so when they do not suffice."
-NO_RESULTS = "No relevant code was found for this question."
+NO_RESULTS = "The index holds nothing that bears on the question."
 
 
 def extractive_answer(prompt: str) -> str:
@@ -27,17 +27,25 @@ def build_prompts(ranked: DataFrame) -> DataFrame:
     return g.select("question", "n_chunks", T.prompt(F.col("question"), F.transform("bs", lambda b: b["block"])).alias("prompt"))
 
 
+#: Fixed value: what a citation says of itself.
+RELEVANCE = "Cited as [%d] in the answer"
+
+
 def citations(answers: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row per cited chunk: answers (question, answer, n_chunks) joined to ranked by the numbers cited."""
     hits = answers.select("question", F.explode(T.cited(F.col("answer"), F.col("n_chunks"))).alias("rank"))
-    return hits.join(ranked, ["question", "rank"]).select("question", "rank", "file_path", "start_line", "end_line", F.format_string("Cited as [%d] in the answer", "rank").alias("relevance"))
+    return hits.join(ranked, ["question", "rank"]).select("question", "rank", "file_path", "start_line", "end_line", F.format_string(RELEVANCE, "rank").alias("relevance"))
 
 
 def answer(prompts: DataFrame, backend: Callable[[str], str] = extractive_answer) -> DataFrame:
-    """(question, n_chunks, answer, uncertainty) by an injected backend; prompts without chunks don't reach it."""
+    """(question, n_chunks, answer, uncertainty) by an injected backend; prompts without chunks don't reach it.
+
+    A backend with an attribute takes_system is called with SYSTEM_PROMPT and the prompt.
+    """
+    call = (lambda p: backend(SYSTEM_PROMPT, p)) if getattr(backend, "takes_system", False) else backend
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"question": pdf["question"], "n_chunks": pdf["n_chunks"], "answer": [backend(p) if n else NO_RESULTS for p, n in zip(pdf["prompt"], pdf["n_chunks"], strict=True)]})
+            yield pd.DataFrame({"question": pdf["question"], "n_chunks": pdf["n_chunks"], "answer": [call(p) if n else NO_RESULTS for p, n in zip(pdf["prompt"], pdf["n_chunks"], strict=True)]})
 
     return prompts.mapInPandas(run, "question string, n_chunks long, answer string").withColumn("uncertainty", F.when(F.col("n_chunks") == 0, F.lit("No excerpts were retrieved.")).otherwise(T.uncertainty(F.col("answer"))))

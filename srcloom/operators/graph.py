@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.runtime import cut
+
 
 def distinct_edges(edges: DataFrame, edge_type: str | None = None) -> DataFrame:
     """Edges once each; rows without a source or target are no edges."""
@@ -26,20 +28,33 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 3, reverse: bool = T
     """(repo_id, start, node, depth): files within depth of each start (repo_id, start), at the least positive depth.
 
     reverse follows edges from target to source (dependents).  A start on a cycle is its
-    own result at the cycle's length.  depth <= 0 gives no rows.  The levels are unrolled
-    into joins; each adds a shuffle by node and drops what was seen before.
+    own result at the cycle's length.  depth <= 0 gives no rows.  Every level is one join
+    with the edges and one with what was seen before; from the second on a level is written
+    and read again, so that the plan of a level doesn't hold those before it, and the search
+    ends at the first empty one.
     """
     a, b = ("target_file", "source_file") if reverse else ("source_file", "target_file")
     step = edges.select("repo_id", F.col(a).alias("at"), F.col(b).alias("node")).distinct()
     frontier = starts.select("repo_id", "start", F.col("start").alias("at")).distinct()
     seen = None
+    if depth > 1:
+        step = cut(step)
     for level in range(1, depth + 1):
         found = frontier.join(step, ["repo_id", "at"]).select("repo_id", "start", "node").distinct()
         if seen is not None:
             found = found.join(seen.select("repo_id", "start", "node"), ["repo_id", "start", "node"], "left_anti")
         found = found.withColumn("depth", F.lit(level))
+        if depth > 1:
+            found = cut(found)
+            if found.isEmpty():
+                break
         seen = found if seen is None else seen.unionByName(found)
         frontier = found.select("repo_id", "start", F.col("node").alias("at"))
-    if seen is None:
+    if depth <= 0:
         return starts.select("repo_id", "start", F.col("start").alias("node"), F.lit(0).alias("depth")).limit(0)
-    return seen
+    return found if seen is None else seen
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """reach()'s rows nearest first, ties by path."""
+    return found.orderBy("repo_id", "start", "depth", "node")

@@ -11,6 +11,8 @@ from srcloom.operators.lookup import definitions
 #: Confidence by hops, of references and of similarity, and the buckets' bounds.
 HOP_CONFIDENCE, FAR_CONFIDENCE, SYMBOL_CONFIDENCE, SIMILAR_CONFIDENCE = {1: 0.95, 2: 0.75, 3: 0.5}, 0.3, 0.7, 0.35
 HIGH, MEDIUM, SIMILAR_CHUNKS = 0.7, 0.4, 5
+#: Reasons of the signals.
+DIRECT, TRANSITIVE, REFERENCE, SIMILAR = "direct import", "transitive import (%d hops)", "references symbol", "semantically related"
 
 
 def hop_confidence(depth: Column) -> Column:
@@ -19,7 +21,7 @@ def hop_confidence(depth: Column) -> Column:
 
 
 def hop_reason(depth: Column) -> Column:
-    return F.when(depth == 1, "direct import").otherwise(F.format_string("transitive import (%d hops)", depth))
+    return F.when(depth == 1, DIRECT).otherwise(F.format_string(TRANSITIVE, depth))
 
 
 def bucket(confidence: Column) -> Column:
@@ -51,11 +53,11 @@ def impact(targets: DataFrame, edges: DataFrame, node_rows: DataFrame, symbols:
     )
     refs = names.join(symbols.select("repo_id", F.col("symbol_name").alias("target"), "file_path").distinct(), ["repo_id", "target"]).join(roots, ["repo_id", "target"], "left")
     refs = refs.where(~F.col("file_path").eqNullSafe(F.col("root"))).select(
-        "repo_id", "target", "file_path", F.lit("references symbol").alias("reason"), F.lit(SYMBOL_CONFIDENCE).alias("confidence"), F.lit(0).alias("depth"), F.lit(2).alias("signal")
+        "repo_id", "target", "file_path", F.lit(REFERENCE).alias("reason"), F.lit(SYMBOL_CONFIDENCE).alias("confidence"), F.lit(0).alias("depth"), F.lit(2).alias("signal")
     )
     merged = merge_signals(graph.unionByName(refs))
     if similar is not None:
         covered = merged.select("repo_id", "target", "file_path").unionByName(roots.select("repo_id", "target", F.col("root").alias("file_path")))
         extra = similar.select("repo_id", "target", "file_path").distinct().join(covered, ["repo_id", "target", "file_path"], "left_anti")
-        merged = merged.unionByName(extra.withColumns({"reason": F.lit("semantically related"), "confidence": F.lit(SIMILAR_CONFIDENCE), "depth": F.lit(0)}).select(*merged.columns))
+        merged = merged.unionByName(extra.withColumns({"reason": F.lit(SIMILAR), "confidence": F.lit(SIMILAR_CONFIDENCE), "depth": F.lit(0)}).select(*merged.columns))
     return merged.withColumn("bucket", bucket(F.col("confidence")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions.paths import directory
 
+#: Suffixes tried, in this order.
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")
 
 

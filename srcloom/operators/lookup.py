@@ -18,21 +18,17 @@ def find_symbol(symbols: DataFrame, repo_id: str, name: str) -> DataFrame:
     return latest_symbols(symbols.where((F.col("repo_id") == repo_id) & (F.col("symbol_name") == name)))
 
 
-def definitions(symbols: DataFrame, strict: bool = False) -> DataFrame:
+def definitions(symbols: DataFrame, strict: bool = False, kinds: bool = False) -> DataFrame:
     """(repo_id, symbol_name, defining_file, start_line, references) per symbol of last-write-wins rows.
 
     The definer is the smallest path of a function, class or method; without one, the
-    smallest path of any row, or nothing if strict.  references are all files with the name.
+    smallest path of any row, or nothing if strict.  references are all files with the name.  With kinds
+    the kind of the definer comes last.
     """
     ok = F.coalesce(F.col("kind").isin(*DEFINING_KINDS), F.lit(False))
     out = symbols.groupBy("repo_id", "symbol_name").agg(
-        F.min(F.struct((~ok).alias("bad"), "file_path", "start_line")).alias("d"), F.array_sort(F.collect_set("file_path")).alias("references")
+        F.min(F.struct((~ok).alias("bad"), "file_path", "start_line", "kind")).alias("d"), F.array_sort(F.collect_set("file_path")).alias("references")
     )
     if strict:
         out = out.where("NOT d.bad")
-    return out.select("repo_id", "symbol_name", F.col("d.file_path").alias("defining_file"), F.col("d.start_line").alias("start_line"), "references")
-
-
-def latest_chunks(chunks: DataFrame) -> DataFrame:
-    """Distinct chunk rows by chunk_id."""
-    return chunks.where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+    return out.select("repo_id", "symbol_name", F.col("d.file_path").alias("defining_file"), F.col("d.start_line").alias("start_line"), "references", *([F.col("d.kind").alias("kind")] if kinds else []))

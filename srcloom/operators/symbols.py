@@ -85,7 +85,8 @@ def parse_script(text: str) -> list[tuple[str, str, int]]:
     for m in _SCRIPT_DEF.finditer(masked):
         name = m.group(1) or m.group(2) or m.group(3)
         out.append(("class" if m.group(2) else "function", name, text.count("\n", 0, m.start(m.lastindex)) + 1))
-    out += [("import", m.group(1), text.count("\n", 0, m.start()) + 1) for m in _SCRIPT_IMPORT.finditer(text)]
+    # The source of an import is a literal, so imports are read from the text where the mask still shows the word.
+    out += [("import", m.group(1), text.count("\n", 0, m.start()) + 1) for m in _SCRIPT_IMPORT.finditer(text) if masked[m.start() : m.end()].lstrip().startswith("import")]
     return sorted(out, key=lambda x: x[2])
 
 

@@ -9,7 +9,7 @@ from srcloom.functions import paths as P
 from srcloom.functions import text as T
 from srcloom.functions.vectors import l2_normalize
 from srcloom.operators import answer as A
-from srcloom.operators import chunking, graph, imports, lookup, search, symbols
+from srcloom.operators import chunking, files, graph, imports, lookup, search, symbols
 from srcloom.operators import impact as I
 from srcloom.runtime import table
 
@@ -157,7 +157,11 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return A.citations(a, r)
 
 
-@_q()
+_FIRST = "any_value(file_path || ' (lines ' || start_line || '–' || end_line || ')') FILTER (WHERE rank = 1)"
+
+
+@_q(f"""SELECT *, CASE WHEN {' OR '.join(f"contains(lower(answer), '{p.replace(chr(39), chr(39) * 2)}')" for p in T.UNCERTAIN)} THEN '{T.UNCERTAIN_NOTE}' END AS uncertainty
+    FROM (SELECT question, count(*) AS n_chunks, 'The most relevant excerpt is ' || {_FIRST} || ' [1].' AS answer FROM {_RANKED} GROUP BY question)""")
 def ask_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return A.answer(A.build_prompts(_ranked(spark, d)))
 
@@ -184,21 +188,23 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_files(docs).select(F.col("file_path").cast("long").alias("doc_id"), "chunk_no", "start_line", "end_line", "content")
 
 
-def _pieces(spark: SparkSession, d: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """Every distinct chunk as a text of its own."""
-    c = table(spark, d, "chunks").where("content IS NOT NULL").where(P.suffix(F.col("file_path")).isin(*suffixes))
-    return c.select("repo_id", F.col("chunk_id").alias("file_path"), P.language(F.col("file_path")).alias("language"), F.col("content").alias("text")).distinct()
+def _files(spark: SparkSession, d: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """Whole files, put together from their chunks."""
+    whole = files.assemble(table(spark, d, "chunks"), tuple(s[1:] for s in suffixes))
+    return whole.select("repo_id", "file_path", P.language(F.col("file_path")).alias("language"), "text")
 
 
 _PY, _JS = (".py",), (".ts", ".tsx", ".js", ".jsx")
 
 
-def _piece_sql(suffixes: tuple[str, ...]) -> str:
-    return f"(SELECT DISTINCT repo_id, chunk_id AS file_path, content AS text, {_LANG} AS language FROM chunks WHERE content IS NOT NULL AND {_SUFFIX} IN ({_list(suffixes)}))"
+def _file_sql(suffixes: tuple[str, ...]) -> str:
+    return f"""(SELECT repo_id, file_path, {_LANG} AS language, string_agg(CASE WHEN nxt IS NULL THEN content ELSE array_to_string(list_slice(string_split(content, chr(10)), 1, nxt - start_line), chr(10)) || chr(10) END, '' ORDER BY start_line) AS text
+        FROM (SELECT *, lead(start_line) OVER (PARTITION BY repo_id, file_path ORDER BY start_line) AS nxt FROM (
+            SELECT repo_id, file_path, start_line, max(content) AS content FROM chunks WHERE content IS NOT NULL AND file_path IS NOT NULL AND start_line IS NOT NULL AND {_SUFFIX} IN ({_list(suffixes)}) GROUP BY ALL)) GROUP BY ALL)"""
 
 
 def _line_sql(suffixes: tuple[str, ...]) -> str:
-    return f"(SELECT repo_id, file_path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM {_piece_sql(suffixes)})"
+    return f"(SELECT repo_id, file_path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM {_file_sql(suffixes)})"
 
 
 def _symbols_sql(suffixes: tuple[str, ...], fn: str, cl: str) -> str:
@@ -211,7 +217,7 @@ _B = r"(?:[\s\x{0b}])"
 
 @_q(_symbols_sql(_PY, r"regexp_extract(line, '^def\s+(\w+)\s*\(', 1)", r"regexp_extract(line, '^class\s+(\w+)', 1)"))
 def symbols_regex_py(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.regex_symbols(_pieces(spark, d, _PY), True)
+    return symbols.regex_symbols(_files(spark, d, _PY), True)
 
 
 _TSF = r"^\s*(?:export\s+)?(?:async\s+)?(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\()"
@@ -219,43 +225,42 @@ _TSF = r"^\s*(?:export\s+)?(?:async\s+)?(?:function\s+(\w+)|(?:const|let|var)\s+
 
 @_q(_symbols_sql(_JS, f"regexp_extract(line, '{_TSF}', 1) || regexp_extract(line, '{_TSF}', 2)", r"regexp_extract(line, '^\s*(?:export\s+)?class\s+(\w+)', 1)"))
 def symbols_regex_ts(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.regex_symbols(_pieces(spark, d, _JS), False)
+    return symbols.regex_symbols(_files(spark, d, _JS), False)
 
 
 def _imports_sql(suffixes: tuple[str, ...], pattern: str) -> str:
-    return f"SELECT repo_id, file_path, m AS imported_module, starts_with(m, '.') AS is_relative FROM (SELECT repo_id, file_path, unnest(regexp_extract_all(text, '{pattern}', 1)) AS m FROM {_piece_sql(suffixes)})"
+    return f"SELECT repo_id, file_path, m AS imported_module, starts_with(m, '.') AS is_relative FROM (SELECT repo_id, file_path, unnest(regexp_extract_all(text, '{pattern}', 1)) AS m FROM {_file_sql(suffixes)})"
 
 
 @_q(_imports_sql(_PY, r"(?m)^(?:import|from)\s+([\w.]+)"))
 def imports_regex_py(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.regex_imports(_pieces(spark, d, _PY), True)
+    return symbols.regex_imports(_files(spark, d, _PY), True)
 
 
 @_q(_imports_sql(_JS, r"""(?:import|from)\s+[''"]([^''"]+)[''"]"""))
 def imports_regex_ts(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.regex_imports(_pieces(spark, d, _JS), False)
+    return symbols.regex_imports(_files(spark, d, _JS), False)
 
 
-@_q(rf"""SELECT file_path AS chunk_id, CASE WHEN language = 'python' THEN regexp_extract_all(text, '(?m)^(?:def|class)\s+(\w+)', 1)
-    ELSE regexp_extract_all(text, '(?m)^(?:export\s+)?(?:function|class|const|let|var)\s+(\w+)', 1) END AS names,
-    len(list_distinct(names)) AS n_names FROM {_piece_sql(_PY + _JS)}""".replace(" AS names,\n    len(list_distinct(names)) AS n_names", " AS raw").replace("SELECT file_path AS chunk_id,", "SELECT chunk_id, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS names FROM (SELECT file_path AS chunk_id,") + ")")
+@_q(rf"""SELECT repo_id, file_path, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS names FROM (SELECT repo_id, file_path, CASE WHEN language = 'python' THEN regexp_extract_all(text, '(?m)^(?:def|class)\s+(\w+)', 1)
+    ELSE regexp_extract_all(text, '(?m)^(?:export\s+)?(?:function|class|const|let|var)\s+(\w+)', 1) END AS raw FROM {_file_sql(_PY + _JS)})""")
 def prescan_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return _pieces(spark, d, _PY + _JS).select(F.col("file_path").alias("chunk_id"), symbols.prescan(F.col("text"), F.col("language")).alias("names"))
+    return _files(spark, d, _PY + _JS).select("repo_id", "file_path", symbols.prescan(F.col("text"), F.col("language")).alias("names"))
 
 
 @_q()
 def symbols_python(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.extract(_pieces(spark, d, _PY)).where("what != 'import'")
+    return symbols.extract(_files(spark, d, _PY)).where("what != 'import'")
 
 
 @_q()
 def symbols_ts(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.extract(_pieces(spark, d, _JS)).where("what != 'import'")
+    return symbols.extract(_files(spark, d, _JS)).where("what != 'import'")
 
 
 @_q()
 def imports_python(spark: SparkSession, d: str) -> DataFrame:
-    return symbols.extract(_pieces(spark, d, _PY)).where("what = 'import'")
+    return symbols.extract(_files(spark, d, _PY)).where("what = 'import'")
 
 
 _KNOWN_IMPORTS = """(SELECT DISTINCT repo_id, file_path AS source_file, unnest(imports) AS imported_module FROM chunks WHERE imports IS NOT NULL AND {suffix} IN ({these}))"""
@@ -345,6 +350,13 @@ def symbol_references(spark: SparkSession, d: str) -> DataFrame:
     return _latest(spark, d).groupBy("repo_id", "symbol_name").agg(F.array_sort(F.collect_set("file_path")).alias("files"))
 
 
+@_q(f"SELECT repo_id, symbol_name, list_slice(list_sort(list_distinct(list(file_path))), 1, 10) AS listed, count(DISTINCT file_path) AS n_files FROM {_LATEST} GROUP BY ALL")
+def listed_references(spark: SparkSession, d: str) -> DataFrame:
+    """The ten references a definition lists, and how many there are."""
+    r = symbol_references(spark, d)
+    return r.select("repo_id", "symbol_name", F.slice("files", 1, 10).alias("listed"), F.size("files").cast("long").alias("n_files"))
+
+
 @_q(f"""WITH s AS {_LATEST}, d AS (SELECT repo_id, symbol_name, min(file_path) AS definer FROM s WHERE {_OK} GROUP BY ALL)
     SELECT s.repo_id, s.symbol_name, s.file_path FROM s LEFT JOIN d ON s.repo_id IS NOT DISTINCT FROM d.repo_id AND s.symbol_name = d.symbol_name WHERE s.file_path IS DISTINCT FROM d.definer""")
 def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -419,13 +431,13 @@ def _bfs_sql(a: str, b: str) -> str:
 @_q(_bfs_sql("target_file", "source_file"))
 def dependents_bfs(spark: SparkSession, d: str) -> DataFrame:
     e = _imports_of(spark, d)
-    return graph.reach(e, e.select("repo_id", F.col("target_file").alias("start")), 3)
+    return graph.in_order(graph.reach(e, e.select("repo_id", F.col("target_file").alias("start")), 3))
 
 
 @_q(_bfs_sql("source_file", "target_file"))
 def dependencies_bfs(spark: SparkSession, d: str) -> DataFrame:
     e = _imports_of(spark, d)
-    return graph.reach(e, e.select("repo_id", F.col("source_file").alias("start")), 3, reverse=False)
+    return graph.in_order(graph.reach(e, e.select("repo_id", F.col("source_file").alias("start")), 3, reverse=False))
 
 
 # Search ----------------------------------------------------------------------------------
@@ -441,17 +453,21 @@ _VECTORS = "(SELECT chunk_id, max(embedding)::DOUBLE[] AS e FROM vectors WHERE l
 _COS = "CASE WHEN list_sum(list_transform({a}, lambda x: x * x)) = 0 OR list_sum(list_transform({b}, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity({a}, {b}) END"
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return search.usable_vectors(table(spark, d, "vectors").where("size(embedding) = 64"))
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "vectors").where("chunk_id IS NOT NULL AND size(embedding) = 64")
+
+
+def _first(vectors: DataFrame) -> DataFrame:
+    """The vector of the smallest id: one row, found without a shuffle."""
+    return vectors.orderBy("chunk_id", F.desc("embedding")).limit(1)
 
 
 @_q(f"""WITH v AS {_VECTORS}, q AS (SELECT e AS qe FROM v ORDER BY chunk_id LIMIT 1),
     t AS (SELECT chunk_id, {_COS.format(a='e', b='qe')} AS score FROM v, q ORDER BY score DESC, chunk_id LIMIT 10)
     SELECT DISTINCT t.chunk_id, file_path, start_line, end_line, round(score, 6) AS score, substr(content, 1, 300) AS snippet FROM t JOIN chunks c USING (chunk_id)""")
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    first = v.orderBy("chunk_id").limit(1)
-    return search.with_chunks(search.top_k(v, first, 10), table(spark, d, "chunks"))
+    v = _rows(spark, d)
+    return search.with_chunks(search.top_k(v, _first(v), 10), table(spark, d, "chunks"))
 
 
 @_q("""SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
@@ -462,6 +478,12 @@ def search_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return search.batch_top_k(e.select(F.col("vec_id").alias("id"), "embedding"), q, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@_q("""SELECT vec_id, printf('%.3f', round(e[1], 6)) AS three, printf('%.2f', round(e[2], 6)) AS two FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+def score_format(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return e.select("vec_id", T.score_text(F.round(F.col("e")[0], 6)).alias("three"), T.score_text(F.round(F.col("e")[1], 6), 2).alias("two"))
+
+
 @_q()
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     return search.embed(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text"))
@@ -472,9 +494,8 @@ def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, chunk_id FROM t JOIN (SELECT DISTINCT chunk_id FROM chunks) USING (chunk_id) JOIN (SELECT chunk_id, score AS s FROM t) USING (chunk_id))
     SELECT CAST(rank AS BIGINT) AS rank, chunk_id, any_value(content) AS content FROM r JOIN chunks USING (chunk_id) GROUP BY ALL""".replace(" JOIN (SELECT chunk_id, score AS s FROM t) USING (chunk_id)", ""))
 def ask_context(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    hits = search.top_k(v, v.orderBy("chunk_id").limit(1), 8)
-    found = F.broadcast(hits).join(lookup.latest_chunks(table(spark, d, "chunks")).select("chunk_id", "content"), "chunk_id")  # eight rows
+    v = _rows(spark, d)
+    found = search.hit_rows(search.top_k(v, _first(v), 8), table(spark, d, "chunks").select("chunk_id", "content"))
     return found.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "chunk_id")).cast("long").alias("rank"), "chunk_id", "content")
 
 
@@ -504,9 +525,11 @@ _FILE_TARGETS = "SELECT DISTINCT repo_id, target_file AS target FROM e WHERE rep
 _SYMBOL_TARGETS = "SELECT DISTINCT repo_id, symbol_name AS target FROM s WHERE repo_id IS NOT NULL"
 
 
-def _impact(spark: SparkSession, d: str, targets: DataFrame, similar: DataFrame | None = None) -> DataFrame:
-    every = graph.nodes(table(spark, d, "edges"), table(spark, d, "source_files"))
-    return I.impact(targets.where("repo_id IS NOT NULL"), _imports_of(spark, d), every, _latest(spark, d), similar)
+def _impact(spark: SparkSession, d: str, targets: DataFrame, similar: DataFrame | None = None, repo: str | None = None) -> DataFrame:
+    """Impact of targets; with repo, where all targets lie, nothing else is read."""
+    of = lambda name: table(spark, d, name).where(F.lit(True) if repo is None else F.col("repo_id") == repo)
+    every = graph.nodes(of("edges"), of("source_files"))
+    return I.impact(targets.where("repo_id IS NOT NULL"), graph.distinct_edges(of("edges"), "import"), every, lookup.latest_symbols(of("symbols")), similar)
 
 
 @_q(_impact_sql(_SYMBOL_TARGETS))
@@ -529,10 +552,10 @@ _SIMILAR = f"""SELECT t.repo_id, t.target, h.file_path FROM t, (SELECT DISTINCT
 def impact_file_target(spark: SparkSession, d: str) -> DataFrame:
     t = _imports_of(spark, d).where(F.col("repo_id") == REPO).groupBy("repo_id").agg(F.min("target_file").alias("target"))
     c = table(spark, d, "chunks").where(F.col("repo_id") == REPO)
-    v = _vectors(spark, d)
-    hits = search.top_k(v.join(c.select("chunk_id").distinct(), "chunk_id"), v.orderBy("chunk_id").limit(1), I.SIMILAR_CHUNKS)
+    v = _rows(spark, d)
+    hits = search.top_k(v.join(c.select("chunk_id").distinct(), "chunk_id", "left_semi"), _first(v), I.SIMILAR_CHUNKS)
     files = F.broadcast(hits).join(c.select("chunk_id", "file_path"), "chunk_id").select("file_path").distinct()
-    return _impact(spark, d, t, t.join(F.broadcast(files)))  # at most five files beside one target
+    return _impact(spark, d, t, t.join(F.broadcast(files)), REPO)  # at most five files beside one target
 
 
 @_q(_impact_sql(_FILE_TARGETS).replace("SELECT repo_id, target, file_path, reason, confidence, CAST(depth AS INTEGER) AS depth,", "SELECT repo_id, target,").replace(" AS bucket FROM y", " AS bucket, count(*) AS n_files, max(confidence) AS best FROM y GROUP BY ALL"))

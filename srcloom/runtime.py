@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Applications that have this package's source.
 _shipped: set[str] = set()
 
 

@@ -205,3 +205,52 @@ def test_hierarchy_keeps_repositories_apart(spark):
     e = edges(spark, [("a", "b")], "reexport", "r1").unionByName(edges(spark, [("b", "a")], "reexport", None))
     got = {(r.repo_id, r.file_path): r.root_file for r in hierarchy(e, with_paths=False).collect()}
     assert got == {("r1", "a"): "a", ("r1", "b"): "a", (None, "a"): "b", (None, "b"): "b"}
+
+
+def test_top_k_counts_an_id_once(spark):
+    rows = [(f"c{i}", [float(i), 1.0]) for i in range(6)] + [("c5", [5.0, 1.0])] * 4 + [("c1", [9.0, 0.1]), (None, [1.0, 0.0]), ("short", [1.0]), ("null", None), ("hole", [1.0, None]), ("zero", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([([2.0, 0.0],)], "embedding array<float>")
+    got = [(r.chunk_id, round(r.score, 4)) for r in search.top_k(v, q, 3).collect()]
+    assert got == [("c1", 0.9999), ("c5", 0.9806), ("c4", 0.9701)]
+    assert search.top_k(v, q, 0).isEmpty() and search.top_k(v, q.limit(0), 3).isEmpty() and search.top_k(v.limit(0), q, 3).isEmpty()
+    assert search.top_k(v, q, 50).count() == 7
+    with pytest.raises(ValueError):
+        search.top_k(v, q, search.MOST_HITS + 1)
+
+
+def test_reach_goes_deep_with_small_plans(spark):
+    edges = spark.createDataFrame([("r", f"f{i + 1}", f"f{i}") for i in range(12)] + [("r", "f0", "f12")], "repo_id string, source_file string, target_file string")
+    found = graph.reach(edges, spark.createDataFrame([("r", "f0")], "repo_id string, start string"), 40)
+    assert {r.node: r.depth for r in found.collect()} == {**{f"f{i}": i for i in range(1, 13)}, "f0": 13}
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_script_imports_in_comments_are_none():
+    from srcloom.operators.symbols import parse_script
+
+    got = parse_script('/*\nimport { a } from "x";\n*/\nimport b from "y";\nconst s = `\nimport c from "z"\n`;\n')
+    assert [x for x in got if x[0] == "import"] == [("import", "y", 4)]
+
+
+def test_chunk_spans_of_odd_texts():
+    def windows(text, size, overlap):  # the definition, searched anew at every step
+        at = 0
+        while at < len(text):
+            end = min(at + size, len(text))
+            last = text.rfind("\n", at + 1, end)
+            end = last + 1 if end < len(text) and last > 0 else end
+            blank = not text[at:end].strip()
+            if not blank:
+                yield at, end
+            nxt = end - overlap
+            first = text.find("\n", nxt, end) if nxt > 0 else -1
+            nxt = first + 1 if first >= 0 else nxt
+            at = end if blank or end - overlap <= at or end - overlap >= len(text) or nxt <= at else nxt
+
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choice("ab \n\n") for _ in range(rng.randrange(60)))
+        size, overlap = rng.randrange(1, 14), rng.randrange(0, 6)
+        want = list(windows(text, size, overlap)) if text.strip() else []
+        assert list(chunking.chunk_spans(text, size, overlap)) == want, (text, size, overlap)

@@ -65,3 +65,52 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.table("once").count() == 2 and spark.table("per_day").columns == ["repo_id", "starts_at", "n"]
+
+
+def test_second_ingest_replaces_tables_that_become_empty(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(str(tree), "demo")
+    engine.ingest(str(tree), "other")
+    for f in list(tree.rglob("*.py")) + list(tree.rglob("*.ts")):
+        f.unlink()
+    row = engine.ingest(str(tree), "demo").first()
+    assert (row.files_indexed, row.symbols_extracted, row.edges_in_graph) == (1, 0, 0)
+    with pytest.raises(LookupError):
+        engine.definition("charge", "demo")
+    assert engine.store.read("edges", "demo").isEmpty() and engine.store.read("symbols", "demo").isEmpty()
+    assert [r.file_path for r in engine.search("charge", "demo").collect()] == ["README.md"]
+    assert engine.definition("charge", "other").count() == 1 and engine.store.read("edges", "other").count() == 3
+
+
+def test_arguments_are_checked(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(str(tree), "demo")
+    for call in (lambda: engine.search("x", "demo", -1), lambda: engine.search("x", "demo", 10**9), lambda: engine.impact("charge", "demo", 1000), lambda: engine.ask("x", "demo", "3")):
+        with pytest.raises(ValueError, match="whole number"):
+            call()
+    assert engine.search("x", "demo", 0).isEmpty() and engine.health() == {"status": "ok"} and engine.dimension == 384
+
+
+def test_command_line(spark, tree, tmp_path):
+    from srcloom.__main__ import parser, run
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    said = lambda *words: run(engine, parser().parse_args([str(tmp_path / "store"), *words]))
+    assert "files_indexed: 8" in said("ingest", "demo", str(tree)) and said("health") == ["status: ok"]
+    found = said("search", "demo", "charge order", "--top-k", "2")
+    assert found[0].startswith("2 results") and len(found[1].rpartition(", ")[2]) == 5
+    assert said("definition", "demo", "charge")[0] == "charge: function in pkg/core.py, line 3"
+    impact = said("impact", "demo", "pkg/core.py", "--depth", "1")
+    assert "   0.95 pkg/api.py: direct import" in impact and "Medium confidence" not in impact
+    assert any("Cited as [1]" in x for x in said("ask", "demo", "how to charge?"))
+
+
+def test_model_embedder(spark):
+    import numpy as np
+
+    from srcloom.operators.search import ModelEmbedder
+
+    embedder = ModelEmbedder(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), 2, "lengths")
+    rows = spark.createDataFrame([(f"c{i:03}", "x" * i) for i in range(130)] + [("n", None)], "chunk_id string, text string")
+    got = {r.chunk_id: list(r.embedding) for r in embedder(rows).collect()}
+    assert embedder.dimension == 2 and got["c129"] == [129.0, 1.0] and got["n"] == [0.0, 1.0] and len(got) == 131
