@@ -1,10 +1,13 @@
 """The k most similar vectors of every vector by an adaptive dimension scan.
 
-A k-means index is fitted on a bounded sample and indexes every vector.  Lists lie in
-regions of neighbouring lists; a vector is sent once to every region that holds one of
-the lists it probes, as half-precision numbers rotated to their principal axes.  There
-each list is scanned in column blocks: after every block a test on the numbers not yet
-read abandons the candidates that are not likely to reach the k-th best so far.
+A k-means index is fitted on a bounded sample and indexes every vector.  Neighbouring
+lists make up regions of about equal numbers of vectors, however dense some part of the
+space is.  A vector is sent once to every region that holds one of the lists it probes,
+as half-precision numbers rotated to their principal axes; the vectors that probe a
+region are cut into slices, so that a task holds one region and one slice.  There each
+list is scanned in column blocks: after every block a test on the numbers not yet read
+abandons the candidates that are not likely to reach the k-th best so far.  What is
+found is scored again from the vectors as they were given.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ from srcloom.runtime import cut
 
 DIM = 64
 K = 10
-#: Vectors per list and per region block on average, and lists probed by a vector in an index
-#: of 384 lists; with the number of lists their number grows by the power GROWTH.
+#: Vectors per list on average, at most so many members of a region and as many queries in a
+#: slice (both as estimated from the sample), and lists probed by a vector in an index of 384
+#: lists; with the number of lists their number grows by the power GROWTH.
 LIST_SIZE, BLOCK_SIZE, PROBES, GROWTH = 512, 24_576, 28, 0.4
+#: Half-precision similarities are this close to the exact ones.
+HALF_ERROR = 0.004
 #: The index is fitted on at most this many vectors and has at most this many lists.
 SAMPLE_ROWS, MOST_LISTS = 131_072, 8192
 #: Columns after which candidates are tested, and the width of the test in standard deviations.
@@ -35,7 +41,9 @@ class Index:
     rotation: np.ndarray  # DIM x DIM
     centres: np.ndarray  # lists x DIM, rotated
     region: np.ndarray  # of each list
-    blocks: np.ndarray  # of each region
+    blocks: np.ndarray  # of each region: more than one only for a single list beyond the size of a region
+    slices: np.ndarray  # of each region, of the vectors that probe it
+    probes: int
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -52,18 +60,45 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10)
     return c, np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
 
 
-def fit(sample: np.ndarray, rows: int, list_size: int = LIST_SIZE, block_size: int = BLOCK_SIZE) -> Index:
-    """Index over rows vectors, from a sample of unit vectors."""
+def _regions(centres: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
+    """Region of each list: lists are halved along their main axis until a region weighs at most most or is one list."""
+    region, todo, n = np.zeros(len(centres), dtype=np.int32), [np.arange(len(centres))], 0
+    while todo:
+        part = todo.pop()
+        w = weight[part].sum()
+        if w <= most or len(part) == 1:
+            region[part], n = n, n + 1
+            continue
+        x = centres[part] - np.average(centres[part], axis=0, weights=weight[part] + 1e-9)
+        order = np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
+        # Parts come in whole multiples of a region's weight, so that none is left half empty.
+        share = np.ceil(w / most) // 2 / np.ceil(w / most)
+        at = int(np.clip(np.searchsorted(np.cumsum(weight[part][order]), w * share), 1, len(part) - 1))
+        todo += [part[order[:at]], part[order[at:]]]
+    return region
+
+
+def fit(sample: np.ndarray, rows: int, list_size: int = LIST_SIZE, block_size: int = BLOCK_SIZE, probes: int = PROBES, exact: bool = False) -> Index:
+    """Index over rows vectors, from a sample of unit vectors; exact probes every list."""
     rng = np.random.default_rng(7)
     _, axes = np.linalg.eigh(sample.T @ sample)
     rotation = np.ascontiguousarray(axes[:, ::-1]).astype(np.float32)
     x = sample @ rotation
     lists = int(max(1, min(rows // list_size, MOST_LISTS, len(x) // 16)))
     centres, near = _k_means(x, lists, rng)
-    regions = max(1, min(round(rows / block_size), lists))
-    _, region = _k_means(centres, regions, rng) if regions > 1 else (None, np.zeros(lists, dtype=np.int64))
-    share = np.bincount(region[near], minlength=regions) / len(x)
-    return Index(rotation, centres.astype(np.float32), region.astype(np.int32), np.maximum(1, np.ceil(share * rows / block_size)).astype(np.int32))
+    probes = lists if exact else min(lists, round(probes * max(1.0, (lists / 384) ** GROWTH)))
+    members = np.bincount(near, minlength=lists) * (rows / len(x))
+    region = _regions(centres, members, block_size)
+    regions = int(region.max()) + 1
+    asked = np.zeros(regions)
+    for low in range(0, len(x), 8192):
+        similar = x[low : low + 8192] @ centres.T
+        top = np.argpartition(-similar, probes - 1, axis=1)[:, :probes]
+        seen = np.zeros((len(top), regions), dtype=bool)
+        np.put_along_axis(seen, region[top].astype(np.int64), True, axis=1)
+        asked += seen.sum(axis=0)
+    up = lambda n: np.maximum(1, np.ceil(n / block_size)).astype(np.int32)
+    return Index(rotation, centres.astype(np.float32), region, up(np.bincount(region, weights=members, minlength=regions)), up(asked * (rows / len(x))), probes)
 
 
 def usable(vectors: DataFrame, chunks: DataFrame | None = None, dim: int = DIM) -> DataFrame:
@@ -96,13 +131,13 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
 
 
-_SENT = "region int, block int, id long, home int, probes array<int>, v binary"
+_SENT = "region int, block int, slice int, id long, home int, probes array<int>, v binary"
 
 
-def _send(shared, probes: int):
+def _send(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = shared.value
-        p = min(probes, len(ix.centres))
+        p = ix.probes
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -111,22 +146,32 @@ def _send(shared, probes: int):
             for low in range(0, len(x), 2048):
                 y, key = x[low : low + 2048], ids[low : low + 2048]
                 near = y @ ix.centres.T
-                top = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < near.shape[1] else np.argsort(-near, axis=1)
+                top = np.argpartition(-near, p - 1, axis=1)[:, :p]
                 home = near.argmax(1)
                 half = y.astype(np.float16)
-                where = ix.region[top]
-                own = ix.region[home]
+                where, own = ix.region[top], ix.region[home]
+                mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                # As a query: once to every block of every region that holds a probed list, in the slice of its id.
                 pairs = np.unique(np.stack([np.repeat(np.arange(len(y)), p), where.ravel()], axis=1), axis=0)
                 n_blocks = ix.blocks[pairs[:, 1]]
-                rows = np.repeat(pairs, n_blocks, axis=0)  # a region of several blocks: every block is searched
-                block = np.arange(len(rows)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+                rows = np.repeat(pairs, n_blocks, axis=0)
                 q, r = rows[:, 0], rows[:, 1]
-                at_home = (own[q] == r) & (key[q] % ix.blocks[r] == block)  # one block holds the vector
+                block = np.arange(len(rows)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+                cut_ = (mixed[q] // np.uint64(64) % ix.slices[r].astype(np.uint64)).astype(np.int32)
+                my_block, my_slice = (mixed % ix.blocks[own].astype(np.uint64)).astype(np.int32), (mixed // np.uint64(64) % ix.slices[own].astype(np.uint64)).astype(np.int32)
+                at_home = (own[q] == r) & (my_block[q] == block)
                 probed = [t[w == z].astype(np.int32) for t, w, z in zip(top[q], where[q], r, strict=True)]
+                # As a member: to its block in every other slice.
+                others = ix.slices[own] - 1
+                m = np.repeat(np.arange(len(y)), others)
+                other = np.arange(len(m)) - np.repeat(np.cumsum(others) - others, others)
+                other = other + (other >= my_slice[m])
+                both = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(key[q]), pa.array(np.where(at_home, home[q], -1).astype(np.int32)), _lists(probed), _binary(half[q])],
-                    ["region", "block", "id", "home", "probes", "v"],
-                )
+                    [both(r, own[m]), both(block, my_block[m]), both(cut_, other), pa.array(np.concatenate([key[q], key[m]])), both(np.where(at_home, home[q], -1), home[m]),
+                     _lists(probed + [np.zeros(0, np.int32)] * len(m)), _binary(half[np.concatenate([q, m])])],
+                    ["region", "block", "slice", "id", "home", "probes", "v"],
+                )
 
     return run
 
@@ -151,7 +196,7 @@ def scan(queries: np.ndarray, candidates: np.ndarray, floor: np.ndarray, rest_q:
     return qi, ci, s
 
 
-def _scan_block(shared, k: int):
+def _scan_block(shared, k: int, z: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, home = table["id"].to_numpy(), table["home"].to_numpy()
@@ -194,7 +239,7 @@ def _scan_block(shared, k: int):
                                 floor[q] = np.maximum(floor[q], value.min(axis=1))
                             out.append((np.repeat(q, m), cc[best.ravel()], value.ravel()))
                         else:
-                            qi, ci, s = scan(v[q], v[cc], floor[q], [r[q] for r in rests], [r[cc] for r in rests])
+                            qi, ci, s = scan(v[q], v[cc], floor[q], [r[q] for r in rests], [r[cc] for r in rests], z)
                             out.append((q[qi], cc[ci], s))
         if not out:
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "sim": pa.array([], pa.list_(pa.float32()))})
@@ -213,15 +258,13 @@ def _scan_block(shared, k: int):
     return run
 
 
-def _search(numbered: DataFrame, rows: int, k: int, probes: int) -> DataFrame:
-    """(id, near, sim): per vector and region block the k best found there."""
+def _search(numbered: DataFrame, rows: int, k: int, probes: int, exact: bool) -> DataFrame:
+    """(id, near, sim): per vector, region block and slice the k best found there."""
     spark = numbered.sparkSession
     got = numbered.select("embedding").orderBy(F.xxhash64("id")).limit(min(SAMPLE_ROWS, max(4096, 64 * (rows // LIST_SIZE)))).toArrow().combine_chunks()
-    index = fit(_unit(got["embedding"].combine_chunks()), rows)
-    shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centres
-    probes = round(probes * max(1.0, (len(index.centres) / 384) ** GROWTH))
-    sent = numbered.select("id", "embedding").mapInArrow(_send(shared, probes), _SENT)
-    return sent.groupBy("region", "block").applyInArrow(_scan_block(shared, k), "id long, near array<long>, sim array<float>")
+    shared = spark.sparkContext.broadcast(fit(_unit(got["embedding"].combine_chunks()), rows, probes=probes, exact=exact))  # at most MOST_LISTS centres
+    sent = numbered.select("id", "embedding").mapInArrow(_send(shared), _SENT)
+    return sent.groupBy("region", "block", "slice").applyInArrow(_scan_block(shared, k, 100.0 if exact else TEST_Z), "id long, near array<long>, sim array<float>")
 
 
 def _copies(v: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -246,20 +289,22 @@ def _start(vectors: DataFrame, chunks: DataFrame | None) -> tuple[DataFrame, int
     return v, v.count()
 
 
-def neighbours(vectors: DataFrame, chunks: DataFrame | None = None, k: int = K, probes: int = PROBES) -> DataFrame:
+def neighbours(vectors: DataFrame, chunks: DataFrame | None = None, k: int = K, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """(chunk_id, neighbours): the k most similar other chunks of every usable vector, by cosine.
 
     neighbours is an array of (similarity, chunk_id), best first, ties by smaller id.
     Of chunks with the same vector the k + 1 smallest ids are searched and the others get
     those as neighbours, at similarity 1.  Accuracy: lists outside the probed ones are not
-    seen and tests can err, see PROBES and TEST_Z; the recall is measured in tests.  An
-    empty table gives an empty result.
+    seen and tests can err, see PROBES and TEST_Z; the recall is measured in tests.  With
+    exact every list is probed and no candidate abandoned, at quadratic cost; only ties
+    within HALF_ERROR at the k-th place remain open.  Similarities are rounded to half
+    precision.  An empty table gives an empty result.
     """
     v, rows = _start(vectors, chunks)
     if not rows:
         return v.select("chunk_id", F.array().cast("array<struct<similarity:float,chunk_id:string>>").alias("neighbours"))
     searched, surplus = _copies(v, k)
-    found = _search(searched, rows, k, probes)
+    found = _search(searched, rows, k, probes, exact)
     merged = found.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("near", "sim"))).alias("z"))
     best = merged.select("id", F.explode(F.slice(F.array_sort(F.transform("z", lambda e: F.struct((-e["sim"]).alias("s"), e["near"].alias("near")))), 1, k)).alias("e"))
     names = v.select("id", "chunk_id")
@@ -273,20 +318,24 @@ def neighbours(vectors: DataFrame, chunks: DataFrame | None = None, k: int = K,
     return rows_out.select("chunk_id", F.transform("es", lambda e: F.struct((-e["s"]).alias("similarity"), e["o"].alias("chunk_id"))).alias("neighbours"))
 
 
-def similar_pairs(vectors: DataFrame, chunks: DataFrame | None = None, least: float = 0.9, k: int = K, probes: int = PROBES) -> DataFrame:
+def similar_pairs(vectors: DataFrame, chunks: DataFrame | None = None, least: float = 0.9, k: int = K, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """Distinct (chunk_id_a, chunk_id_b), smaller id first, of the scan's hits at or above a cosine.
 
     The scan keeps the k best of every vector per region block, so up to k partners of a
-    vector are kept.  Surplus copies (see neighbours) are paired with their group's first
-    chunk.  An empty table gives an empty result.
+    vector are kept; hits near the bound are scored again on the vectors as given.  Surplus
+    copies (see neighbours) are paired with their group's first chunk.  An empty table
+    gives an empty result.
     """
     v, rows = _start(vectors, chunks)
     if not rows:
         return v.select(F.col("chunk_id").alias("chunk_id_a"), F.col("chunk_id").alias("chunk_id_b"))
     searched, surplus = _copies(v, k)
-    found = _search(searched, rows, k, probes)
-    hits = found.select("id", F.explode(F.filter(F.arrays_zip("near", "sim"), lambda e: e["sim"] >= least)).alias("x")).select(F.least("id", "x.near").alias("i"), F.greatest("id", "x.near").alias("j")).distinct()
+    found = _search(searched, rows, k, probes, exact)
+    near = F.filter(F.arrays_zip("near", "sim"), lambda e: e["sim"] >= least - HALF_ERROR)
+    hits = found.select("id", F.explode(near).alias("x")).select(F.least("id", "x.near").alias("i"), F.greatest("id", "x.near").alias("j")).distinct()
     copies = surplus.select(F.least("id", "leader").alias("i"), F.greatest("id", "leader").alias("j"))
-    names = v.select("id", "chunk_id")
-    pairs = hits.unionByName(copies).join(names.toDF("i", "a"), "i").join(names.toDF("j", "b"), "j")
-    return pairs.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
+    given = v.select("id", "chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = hits.unionByName(copies).join(given.toDF("i", "a", "x"), "i").join(given.toDF("j", "b", "y"), "j")
+    exact_enough = dot("x", "y") >= least * F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
+    return pairs.where(exact_enough).select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
