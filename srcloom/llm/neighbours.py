@@ -24,10 +24,12 @@ from srcloom.runtime import cut
 
 DIM = 64
 K = 10
-#: Vectors per list on average, at most so many members of a region and as many queries in a
-#: slice (both as estimated from the sample), and lists probed by a vector in an index of 384
-#: lists; with the number of lists their number grows by the power GROWTH.
-LIST_SIZE, BLOCK_SIZE, PROBES, GROWTH = 512, 24_576, 28, 0.4
+#: Vectors per list on average, and lists probed by a vector in an index of 384 lists; with the
+#: number of lists their number grows by the power GROWTH.
+LIST_SIZE, PROBES, GROWTH = 512, 28, 0.4
+#: Members of a region and queries of a slice, at most, as estimated from the sample; a task holds both.
+#: Every slice beyond the first gets a copy of the members, so slices are made for regions that many probe only.
+BLOCK_SIZE, SLICE_SIZE = 24_576, 98_304
 #: Half-precision similarities are this close to the exact ones.
 HALF_ERROR = 0.004
 #: The index is fitted on at most this many vectors and has at most this many lists.
@@ -78,7 +80,7 @@ def _regions(centres: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray
     return region
 
 
-def fit(sample: np.ndarray, rows: int, list_size: int = LIST_SIZE, block_size: int = BLOCK_SIZE, probes: int = PROBES, exact: bool = False) -> Index:
+def fit(sample: np.ndarray, rows: int, list_size: int = LIST_SIZE, block_size: int = BLOCK_SIZE, slice_size: int = SLICE_SIZE, probes: int = PROBES, exact: bool = False) -> Index:
     """Index over rows vectors, from a sample of unit vectors; exact probes every list."""
     rng = np.random.default_rng(7)
     _, axes = np.linalg.eigh(sample.T @ sample)
@@ -97,8 +99,8 @@ def fit(sample: np.ndarray, rows: int, list_size: int = LIST_SIZE, block_size: i
         seen = np.zeros((len(top), regions), dtype=bool)
         np.put_along_axis(seen, region[top].astype(np.int64), True, axis=1)
         asked += seen.sum(axis=0)
-    up = lambda n: np.maximum(1, np.ceil(n / block_size)).astype(np.int32)
-    return Index(rotation, centres.astype(np.float32), region, up(np.bincount(region, weights=members, minlength=regions)), up(asked * (rows / len(x))), probes)
+    up = lambda n, most: np.maximum(1, np.ceil(n / most)).astype(np.int32)
+    return Index(rotation, centres.astype(np.float32), region, up(np.bincount(region, weights=members, minlength=regions), block_size), up(asked * (rows / len(x)), slice_size), probes)
 
 
 def usable(vectors: DataFrame, chunks: DataFrame | None = None, dim: int = DIM) -> DataFrame:
