@@ -4,18 +4,17 @@ Every file is tokenised once.  Its tokens with identifiers, numbers and strings
 give shingles of five; one-permutation MinHash sketches of them are banded, all files of
 a band bucket are compared by sketch, those that may be alike are linked where their
 hashed shingle sets have a Jaccard similarity of at least 0.8, and links are closed to
-families.  A family within one repository is the
-work of a generator if its members carry its marks, a family across repositories a
-vendored copy if they carry a third party's, and a family of files that are all but
-literals is data.  Marks of a file itself settle the rest; that two repositories hold
-nearly the same file is no mark.
+families.  A family within one repository is the work of a generator if its members
+carry its marks, a family across repositories a vendored copy if they carry a third
+party's, and a family of files that are all but literals is data.  Marks are the
+evidence a family is judged by; that two repositories hold nearly the same file is none.
+Most flagged files have no near copy, and there the file's own marks decide.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,12 +35,13 @@ BLOCK = 2048
 #: Share of a family's members with a mark from which it passes to the others.
 FAMILY_SHARE = 0.5
 
-_LITERAL = re.compile(
-    r"(#(?!\w+\s*[(=])[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)"
-    r"|([rbufRBUF]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))"
-    r"|\b\d[\w.]*"
+_COMMENT = r"#(?!\w+\s*[(=])[^\n]*+|//[^\n]*+|/\*[\s\S]*?\*/"
+#: A comment that begins a line comes with the line's end before it.
+_TOKEN = re.compile(
+    rf"\n[ \t]*+(?:{_COMMENT})|{_COMMENT}"
+    r"|[rbufRBUF]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)"
+    r"|\d[\w.]*+|[^\W\d][\w$]*+|[^\s\w]"
 )
-_TOKEN = re.compile(r"[^\W\d][\w$]*|[^\s\w]|\d")
 
 #: Words that stay in masked shingles.
 _KEYWORDS = frozenset("and as async await break case catch class const continue def default del do elif else except export extends finally for from function if import in interface is let new not null None or pass raise return self static switch this throw True False true false try typeof undefined var void while with yield module exports enum type public private readonly lambda".split())
@@ -50,13 +50,13 @@ _CODE_WORDS = frozenset("def class function return if for while switch try impor
 #: What generators, packers and third parties write into comments of their files.
 _GENERATOR = re.compile(
     r"(?i)@generated\b|<auto-?generated|\bauto-?generated\b|\bcode generated\b|\bgenerated (?:by|from|with|on|at)\s+\S|--\s*generated\b|\b(?:is|was|been) (?:automatically )?(?:generated|produced|compiled|emitted) (?:by|from)\b"
-    r"|\bautomatically (?:generated|produced|created)\b|\bdo not (?:edit|modify|change)\b|\bmachine[- ](?:made|generated|written)\b|\bproduced (?:from|by) \S+\.\w+|\bcompiled from \S|\boutput of \S*(?:gen|compiler|forge|c)\b"
+    r"|\bautomatically (?:generated|produced|created)\b|\bdo not (?:edit|modify|change)\b|\bmachine[- ](?:made|generated|written)\b|\bproduced (?:from|by) \S+\.\w+|\bcompiled from \S|\boutput of \S*(?:gen|compiler|forge|c)\b|\b(?:tool|generator|compiler)=\S+.*\b(?:input|source|template|schema)=\S"
     r"|\bedit the (?:template|source|schema|generator|input)\b|\b(?:manual|hand)[- ]?(?:made )?(?:changes?|edits?)\b.*\b(?:lost|overwritten|discarded)|\bchanges\b.*\b(?:lost|overwritten|not survive|discarded)"
     r"|\b(?:produit|généré|générée?s?) (?:automatiquement |par )|\bmodifications?\b.*\bperdues?\b|\bne pas (?:modifier|éditer)\b|\b(?:automatisch )?(?:generiert|erzeugt) (?:von|aus|mit|durch)\b|\bnicht (?:bearbeiten|ändern|editieren)\b|änderungen\b.*\bverloren"
     r"|\bgenerad[oa] (?:por|automáticamente|con|a partir)|\bno (?:editar|modificar)\b|\bcambios\b.*\bperder|\bgerad[oa] (?:por|automaticamente)|\bnão (?:edite|editar|modifique)|сгенерирован|не (?:редактир|изменя)|автоматически создан|自動生成|自动生成|編集しない|请勿(?:编辑|修改)|wygenerowan|nie edytowa|vygenerov|neupravuj|genererad (?:av|från)|redigera inte|tarafından (?:üretil|oluşturul)|düzenlemeyin"
 )
 #: A text without any of these stems has no generator's or third party's mark; they only save time.
-_STEMS = ("generat", "machine", "do not", "edit the", "manual", "hand", "changes", "output of", "produced", "emitted", "compiled", "created", "produit", "généré", "modif", "generier", "erzeugt", "nicht ", "änderungen", "generad", "editar", "cambios", "gerad", "não ", "сгенер", "не редакт", "не измен", "автоматич", "自動生成", "自动生成", "編集しない", "请勿", "wygener", "nie edyt", "vygener", "neuprav", "genererad", "redigera", "tarafından", "düzenle")
+_STEMS = ("tool=", "compiler=", "generat", "machine", "do not", "edit the", "manual", "hand", "changes", "output of", "produced", "emitted", "compiled", "created", "produit", "généré", "modif", "generier", "erzeugt", "nicht ", "änderungen", "generad", "editar", "cambios", "gerad", "não ", "сгенер", "не редакт", "не измен", "автоматич", "自動生成", "自动生成", "編集しない", "请勿", "wygener", "nie edyt", "vygener", "neuprav", "genererad", "redigera", "tarafından", "düzenle")
 _THIRD_STEMS = ("vendor", "upstream", "licen", "cop", "preserve", "bundled", "third", "taken", "imported", "adapted", "fork", "mirror")
 _DENIED = re.compile(r"(?i)\b(?:not|never|isn't|no longer|un|hand)[- ]?(?:auto-?)?(?:generated|compiled)|\bby hand\b|generated by hand")
 _THIRD = re.compile(
@@ -75,11 +75,27 @@ def _stable(token: str) -> int:
     return h
 
 
-_NAME = _stable("name")
-_CODES = {w: _stable(w) for w in (*_KEYWORDS, *(chr(c) for c in range(33, 127) if not chr(c).isalnum()), "0")}
+_NAME, _STRING, _NUMBER, _REMARK = _stable("name"), _stable("\""), _stable("0"), 0
+_WORD_CODES = {w: _stable(w) for w in (*_KEYWORDS, *(chr(c) for c in range(33, 127) if not chr(c).isalnum()))}
 _CODE_NUMBERS = np.array([_stable(w) for w in _CODE_WORDS], dtype=np.uint64)
 
 
+class _Codes(dict):
+    """Number of a token; all names, all strings and all numbers have one each, comments 0."""
+
+    def __missing__(self, s: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+            self.update(_WORD_CODES)
+        # Marks outside ASCII have no code of their own and count as names, which only blurs shingles.
+        c = s[0]
+        got = self[s] = _NUMBER if c.isdigit() else _REMARK if len(s) > 1 and (c in "\n#" or s[:2] in ("//", "/*")) else _STRING if len(s) > 1 and s[-1] in "\"'`" else _NAME
+        return got
+
+
+_CODES = _Codes(_WORD_CODES)
+
+
 def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n codes."""
     h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
@@ -91,33 +107,24 @@ def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
 
 def describe(path: str, text: str) -> tuple[str | None, bytes | None, bool, bytes | None]:
     """(mark, sketch, literal only, sorted 32-bit hashes of the shingles) of a file; mark is generated, minified, vendored, data or None."""
-    remarks: list[str] = []
-    literal = 0
-
-    def mask(m: re.Match) -> str:
-        nonlocal literal
-        if m.lastindex == 1:
-            if not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
-                remarks.append(m.group())
-            return " "
-        literal += m.end() - m.start()
-        return " \"" if m.lastindex == 2 else " 0"
-
-    tokens = _TOKEN.findall(_LITERAL.sub(mask, text))
-    codes = np.fromiter(map(_CODES.get, tokens, repeat(_NAME)), dtype=np.uint64, count=len(tokens))
-    # Marks outside ASCII have no code of their own and count as names, which only blurs shingles.
-    shape = tokens.count("\"") + tokens.count("0")
-    names = int((codes == _NAME).sum())
-    code = sum(tokens.count(w) for w in _CODE_WORDS) if len(tokens) < 200 else int(np.isin(codes, _CODE_NUMBERS).sum())
+    found = _TOKEN.findall("\n" + text)
+    codes = np.fromiter(map(_CODES.__getitem__, found), dtype=np.uint64, count=len(found))
+    remarks = [found[k].lstrip() for k in np.flatnonzero(codes == _REMARK) if found[k][0] == "\n"]
+    given = (codes == _STRING) | (codes == _NUMBER)
+    literal = sum(len(found[k]) for k in np.flatnonzero(given))
+    codes = codes[codes != _REMARK]
+    count, shape, names = len(codes), int(given.sum()), int((codes == _NAME).sum())
+    # Nearly every file has a word of code among its first tokens; the rest is read only if not.
+    plain = not np.isin(codes[:128], _CODE_NUMBERS).any() and not np.isin(codes, _CODE_NUMBERS).any()
     size = len(text) - text.count(" ") - text.count("\n")
-    only = len(tokens) > 12 and code == 0 and names <= 4 + shape // 20 and literal > 0.3 * size
+    only = count > 12 and plain and names <= 4 + shape // 20 and literal > 0.3 * size
     lines = text.count("\n") + 1
     joined = "\n".join(remarks)
     low, remark_lines = joined.lower(), joined.split("\n")
     mark = None
     if any(k in low for k in _STEMS) and any(_GENERATOR.search(x) and not _DENIED.search(x) for x in remark_lines):
         mark = "generated"
-    elif _GENERATED_NAME.search(path) or any(k in text for k in _MACHINE) and code <= 2 + lines // 50:
+    elif _GENERATED_NAME.search(path) or any(k in text for k in _MACHINE) and int(np.isin(codes, _CODE_NUMBERS).sum()) <= 2 + lines // 50:
         mark = "generated"
     elif any(k in low for k in _THIRD_STEMS) and any(_THIRD.search(x) for x in remark_lines):
         mark = "vendored"
@@ -127,9 +134,9 @@ def describe(path: str, text: str) -> tuple[str | None, bytes | None, bool, byte
         mark = "minified"
     elif only and size > 300:
         mark = "data"
-    elif code == 0 and len(tokens) > 60 and len(np.unique(_rolled(codes, 8))) < 0.12 * len(tokens):
+    elif plain and count > 60 and len(np.unique(_rolled(codes, 8))) < 0.12 * count:
         mark = "generated"  # one statement over and over
-    if len(tokens) < SHINGLE:
+    if count < SHINGLE:
         return mark, None, only, None
     h = np.unique(_rolled(codes, SHINGLE))
     slot, value = (h % np.uint64(SLOTS)).astype(np.int64), (h >> np.uint64(8)) & np.uint64(0xFFFFFFFF)
@@ -242,25 +249,38 @@ def families(files: DataFrame) -> DataFrame:
 
 
 def provenance(chunks: DataFrame) -> DataFrame:
-    """(repo_id, file_path, verdict, mark, family_size, family_repos) of every source file.
-
-    verdict is generated, minified, vendored, data or hand.  Null contents and paths are
-    left out; repeated rows and second ingests give one row; a null repo_id is a repository
-    of its own.
+    """(repo_id, file_path, verdict, decided_by, mark, family_size, family_repos) of every source file.
+
+    verdict is generated, minified, vendored, data or hand.  It is the family's, where its
+    members' marks agree by FAMILY_SHARE, and passes to members without a mark of their own
+    if more than two files stand behind it; a file without a family is one of its own.
+    decided_by is family (of two files or more), own (the mark of the file alone) or null.
+    Null contents and paths are left out; repeated rows and second ingests give one row; a
+    null repo_id is a repository of its own.
     """
     files = assemble(chunks, SUFFIXES).mapInPandas(_describe_all, "repo_id string, file_path string, mark string, literal_only boolean, sketch binary, short binary, shingles binary, bands array<long>")
     files = cut(files.withColumn("id", F.monotonically_increasing_id()))
     fam = families(files.where("sketch IS NOT NULL").select("id", "sketch", "short", "shingles", "bands"))
-    rows = files.join(fam, "id", "left").withColumn("family", F.coalesce("family", "id"))
-    share = lambda m: F.avg((F.coalesce("mark", F.lit("")) == m).cast("double"))
+    rows = files.select("id", "repo_id", "file_path", "mark", "literal_only").join(fam, "id", "left").withColumn("family", F.coalesce("family", "id"))
+    has = lambda *marks: F.avg(F.coalesce(F.col("mark").isin(*marks), F.lit(False)).cast("double"))
     about = rows.groupBy("family").agg(
-        F.count(F.lit(1)).alias("family_size"), F.countDistinct("repo_id").alias("family_repos"), share("generated").alias("generated"), share("minified").alias("minified"), share("data").alias("data"),
-        F.avg(F.col("literal_only").cast("double")).alias("literal"),
+        F.count(F.lit(1)).alias("family_size"), F.countDistinct("repo_id").alias("family_repos"), has("generated").alias("generated"), has("minified").alias("minified"),
+        has("vendored").alias("vendored"), has("data").alias("data"), F.avg(F.col("literal_only").cast("double")).alias("literal"),
+    )
+    most = F.greatest("generated", "minified", "vendored")
+    of_family = (
+        F.when((F.col("literal") >= FAMILY_SHARE) & (F.col("data") > 0), "data")
+        .when(F.col("generated") + F.col("minified") + F.col("vendored") < FAMILY_SHARE, None)
+        # Copies in several repositories come from a third party if any says so, copies within one from a tool.
+        .when((F.col("family_repos") > 1) & (F.col("vendored") == most), "vendored")
+        .when(F.col("minified") == most, "minified")
+        .when(F.col("generated") > 0, "generated")
+        .otherwise("vendored")
     )
-    j = rows.join(about, "family")
-    inherited = (
-        F.when((F.col("family_size") > 2) & (F.col("literal") >= FAMILY_SHARE) & F.col("literal_only") & (F.col("data") > 0), "data")
-        .when((F.col("family_size") > 2) & (F.col("generated") >= FAMILY_SHARE), "generated")
-        .when((F.col("family_size") > 2) & (F.col("minified") >= FAMILY_SHARE), "minified")
+    j = rows.join(about, "family").withColumn("of_family", F.when(F.col("family_size") > 1, of_family))
+    passed = F.when((F.col("family_size") > 2) & ((F.col("of_family") != "data") | F.col("literal_only")), F.col("of_family"))
+    verdict = F.coalesce("mark", passed)
+    by = F.when(verdict.isNull(), None).when(F.col("of_family").isNotNull(), "family").otherwise("own")
+    return j.select(
+        "repo_id", "file_path", F.coalesce(verdict, F.lit("hand")).alias("verdict"), by.alias("decided_by"), "mark", F.col("family_size").cast("int").alias("family_size"), F.col("family_repos").cast("int").alias("family_repos")
     )
-    return j.select("repo_id", "file_path", F.coalesce("mark", inherited, F.lit("hand")).alias("verdict"), "mark", F.col("family_size").cast("int").alias("family_size"), F.col("family_repos").cast("int").alias("family_repos"))

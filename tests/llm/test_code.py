@@ -209,6 +209,25 @@ def test_provenance(spark):
     assert got == want
 
 
+def test_families_pass_their_verdict_on(spark):
+    def body(n):
+        return "".join(f"class Message{k}(Base):\n    def encode(self, out):\n        out.write({k}, self.field_{k})\n        return out.size + {n}\n\n" for k in range(12))
+
+    generated = {f"src/m{n}.py": "# Code generated by xgen. DO NOT EDIT.\n" + body(n) for n in range(3)} | {"src/bare.py": body(9)}
+    lib = "".join(f"export function part{k}(a, b) {{ for (const x of a) {{ if (x.{'abcdefgh'[k]} > {k}) return b[x]; }} return null; }}\n" for k in range(8))
+    table = lambda n: "module.exports = [\n" + "".join(f'  ["k{k}", {n + k}, "some text {k}"],\n' for k in range(30)) + "];\n"
+    plain = "def shared(a):\n    if a is None:\n        return 1\n    for b in a:\n        yield b + 2\n" * 4
+    rows = chunks(spark, generated | {"data/a.js": table(1)}, "one")
+    for repo in ("two", "three", "four"):
+        path = "web/part.js" if repo == "four" else "vendor/part.js"
+        rows = rows.unionByName(chunks(spark, {path: lib, "util.py": plain, f"data/{repo}.js": table(5), "s.py": "# tool=xc input=a.tmpl rev=1 mode=overwrite\n" + f"def f_{repo}(a):\n    return a\n"}, repo))
+    got = {(r.repo_id, r.file_path): (r.verdict, r.decided_by) for r in provenance.provenance(rows).collect()}
+    assert got["one", "src/bare.py"] == ("generated", "family"), "an unmarked member within one repository"
+    assert got["four", "web/part.js"] == ("vendored", "family"), "an unmarked copy across repositories"
+    assert got["one", "data/a.js"] == ("data", "family") and got["two", "s.py"][0] == "generated"
+    assert {got[r, "util.py"] for r in ("two", "three", "four")} == {("hand", None)}, "a file repositories share is no case"
+
+
 def sketched(spark, rows):
     bands = lambda s: [int(np.frombuffer(s[i : i + 8], np.int64)[0]) ^ i for i in range(0, 256, 16)]
     made = [(n, s.astype(np.uint32).tobytes(), np.sort(g).astype(np.uint32).tobytes()) for n, s, g in rows]
