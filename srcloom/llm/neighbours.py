@@ -333,11 +333,16 @@ def similar_pairs(vectors: DataFrame, chunks: DataFrame | None = None, least: fl
         return v.select(F.col("chunk_id").alias("chunk_id_a"), F.col("chunk_id").alias("chunk_id_b"))
     searched, surplus = _copies(v, k)
     found = _search(searched, rows, k, probes, exact)
-    near = F.filter(F.arrays_zip("near", "sim"), lambda e: e["sim"] >= least - HALF_ERROR)
-    hits = found.select("id", F.explode(near).alias("x")).select(F.least("id", "x.near").alias("i"), F.greatest("id", "x.near").alias("j")).distinct()
+    close = F.filter(F.arrays_zip("near", "sim"), lambda e: e["sim"] >= least - HALF_ERROR)
+    hits = found.select("id", F.explode(close).alias("x")).groupBy(F.least("id", "x.near").alias("i"), F.greatest("id", "x.near").alias("j")).agg(F.max("x.sim").alias("sim"))
     copies = surplus.select(F.least("id", "leader").alias("i"), F.greatest("id", "leader").alias("j"))
-    given = v.select("id", "chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    hits = cut(hits)  # its size is known from here on, so that vectors and names are not moved to a few pairs
+    given = v.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = hits.unionByName(copies).join(given.toDF("i", "a", "x"), "i").join(given.toDF("j", "b", "y"), "j")
-    exact_enough = dot("x", "y") >= least * F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
-    return pairs.where(exact_enough).select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
+    doubtful = cut(hits.where(F.col("sim") < least + HALF_ERROR).select("i", "j"))
+    doubtful = doubtful.join(given.toDF("i", "x"), "i").join(given.toDF("j", "y"), "j")
+    settled = doubtful.where(dot("x", "y") >= least * F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))).select("i", "j")
+    sure = hits.where(F.col("sim") >= least + HALF_ERROR).select("i", "j")
+    names = v.select("id", "chunk_id")
+    pairs = sure.unionByName(settled).unionByName(copies).join(names.toDF("i", "a"), "i").join(names.toDF("j", "b"), "j")
+    return pairs.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
