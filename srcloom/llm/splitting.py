@@ -1,8 +1,8 @@
 """Oversized items cut into pieces at natural boundaries, with overlap.
 
-Balanced targets: the least number of pieces that can hold the item is found, cuts
-are aimed at equal distances, each is snapped to the strongest boundary near its
-target, and a piece is added whenever a limit cannot be kept.
+Balanced targets: from the least number of pieces that can hold the item, targets are
+placed at equal distances, each is snapped to the strongest boundary near it, and pieces
+are added when any of them fails its limit.
 """
 
 from __future__ import annotations
@@ -18,27 +18,45 @@ from pyspark.sql import functions as F
 MAX_CHARS = 1600
 OVERLAP = 200
 
-#: Boundary patterns from strongest to weakest: a cut goes to the end of the match.
-_BOUNDARIES = [
-    re.compile(r"\n(?:[ \t]*\n)+(?=\S)"),  # blank line before unindented text
-    re.compile(r"\n(?=(?:export |async |public |private |static )*(?:def|class|function|interface|type|const|@|#+ )\b)"),
-    re.compile(r"\n(?:[ \t]*\n)+"),  # blank line
-    re.compile(r"\n(?=\S)"),  # back at the margin
-    re.compile(r"[};]\n|\n(?=[ \t]{1,4}\S)"),
-    re.compile(r"\n"),
-    re.compile(r"[.!?。！？](?:[ \t]+|(?=[^\x00-\x7f]))"),
-    re.compile(r"[;,{}、，]\s*|\s+(?=[({\[])"),
-    re.compile(r"\s+"),
-]
+#: Strengths of boundaries; a cut goes behind them.
+PARAGRAPH, DEFINITION, BLANK_LINE, MARGIN, SHALLOW, LINE, SENTENCE, CLAUSE, WORD = range(9, 0, -1)
+#: Every pattern goes over the text once, without going back.
+_SPACE = re.compile(r"\s++")
+_DEFINES = re.compile(r"(?:export |async |public |private |static )*+(?:def|class|function|interface|type|const|@|#+ )\b")
+_SENTENCE = re.compile(r"[.!?。！？](?:[ \t]++|(?=[^\x00-\x7f]))")
+_CLAUSE = re.compile(r"[;,{}、，]\s*+")
 
 
 def _cuts(text: str) -> list[tuple[int, int]]:
     """(position, strength) of all boundaries, in order; larger is stronger."""
     best: dict[int, int] = {}
-    for rank, pattern in enumerate(_BOUNDARIES):
-        strength = len(_BOUNDARIES) - rank
-        for m in pattern.finditer(text):
-            best.setdefault(m.end(), strength)
+
+    def add(at: int, strength: int) -> None:
+        if strength > best.get(at, 0):
+            best[at] = strength
+
+    for m in _SPACE.finditer(text):
+        space, end = m.group(), m.end()
+        add(end, CLAUSE if text[end : end + 1] in ("(", "{", "[") else WORD)
+        n = space.count("\n")
+        if not n:
+            continue
+        at = m.start()
+        for _ in range(n):
+            at = text.index("\n", at) + 1
+            best[at] = max(LINE, best.get(at, 0))
+        # at is behind the last line's end: the boundary proper.
+        depth = end - at
+        if not depth and end < len(text):
+            add(at, PARAGRAPH if n > 1 else DEFINITION if _DEFINES.match(text, end) else MARGIN)
+        elif n > 1:
+            add(at, BLANK_LINE)
+        elif depth <= 4 or text[at - 2 : at - 1] in ("}", ";"):
+            add(at, SHALLOW)
+    for m in _SENTENCE.finditer(text):
+        add(m.end(), SENTENCE)
+    for m in _CLAUSE.finditer(text):
+        add(m.end(), CLAUSE)
     best.pop(0, None)
     best.pop(len(text), None)
     return sorted(best.items())
@@ -62,11 +80,34 @@ def _start(text: str, cut: int, floor: int, overlap: int, lines: list[int], word
     return back if least > floor and back >= cut - overlap else cut if least <= floor else least
 
 
+def _place(text: str, n: int, limit: int, overlap: int, cuts: list[tuple[int, int]], places: list[int], lines: list[int], words: list[int]) -> list[tuple[int, int]] | None:
+    """Spans of n pieces: n - 1 equally distant targets, each moved to the strongest boundary near it; None if a piece would be too long."""
+    total, start, reach = len(text), 0, max(1, limit // 4)
+    spans = []
+    for k in range(1, n):
+        target = k * total // n + overlap // 2
+        low, high = max(start + overlap + 1, target - reach), min(start + limit, target + reach)
+        if low > high:
+            if target > start:
+                return None
+            continue
+        near = range(bisect.bisect_left(places, low), bisect.bisect_right(places, high))
+        best = max(near, key=lambda i: (cuts[i][1], -abs(places[i] - target)), default=None)
+        end = places[best] if best is not None else _whole(text, min(max(target, low), high))
+        if end <= start + overlap:  # a combined character with no room for it
+            end = start + limit
+        if end >= total:
+            break
+        spans.append((start, end))
+        start = _start(text, end, start + 1, overlap, lines, words)
+    return [*spans, (start, total)] if total - start <= limit else None
+
+
 def split_text(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """[start, end) spans covering the text, each of at most limit code points.
 
     Consecutive spans overlap by at most overlap.  A text within the limit is one span,
-    an empty one none.
+    an empty one none.  Pieces are added until all are within the limit.
     """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("need 0 <= overlap < limit")
@@ -76,27 +117,13 @@ def split_text(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> lis
     cuts = _cuts(text)
     places = [p for p, _ in cuts]
     lines = [m.end() for m in re.finditer(r"\n", text)]
-    words = [m.end() for m in re.finditer(r"\s+", text)]
-    pieces = -(-total // limit)
-    spans: list[tuple[int, int]] = []
-    start = 0
-    while True:
-        rest = max(1, pieces - len(spans))
-        if total - start <= limit:
-            spans.append((start, total))
+    words = [m.end() for m in _SPACE.finditer(text)]
+    n = -(-(total - overlap) // (limit - overlap))
+    while n <= 2 * total:
+        if spans := _place(text, n, limit, overlap, cuts, places, lines, words):
             return spans
-        while rest * limit < total - start + (rest - 1) * overlap // 2 and rest < total:
-            rest, pieces = rest + 1, pieces + 1
-        target = start + (total - start + (rest - 1) * overlap // 2) // rest
-        reach = max(1, limit // 4)
-        low, high = max(start + overlap + 1, target - reach), min(start + limit, target + reach)
-        near = range(bisect.bisect_left(places, low), bisect.bisect_right(places, high))
-        k = max(near, key=lambda i: (cuts[i][1], -abs(places[i] - target)), default=None)
-        end = places[k] if k is not None else _whole(text, min(target, start + limit))
-        if end <= start:  # one combined character longer than the limit
-            end = start + limit
-        spans.append((start, end))
-        start = _start(text, end, start + 1, overlap, lines, words)
+        n += 1 + n // 16
+    return [(at, min(at + limit, total)) for at in range(0, total, limit)]
 
 
 def _pieces(limit: int, overlap: int):

@@ -16,14 +16,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 1 << 15
-#: Texts over this many code points are encoded as leaves in tasks of their own.
-SPREAD_CHARS = 1 << 18
+from srcloom.runtime import parallelism
+
+#: Code points of a leaf, and of a text whose leaves are encoded in tasks of their own.
+LEAF_CHARS, SPREAD_CHARS = 1 << 11, 1 << 18
 
 #: No pre-split piece of the byte-level pattern spans these places: white space after
 #: other text, a digit beside a letter, punctuation after a letter or digit.
@@ -61,19 +61,31 @@ class Encoded:
     def __init__(self, head: str, middle: list[int] | None, tail: str):
         self.head, self.middle, self.tail = head, middle, tail
 
-    @classmethod
-    def leaf(cls, path: str, text: str) -> Encoded:
+    @staticmethod
+    def parts(text: str) -> tuple[str, str | None, str]:
+        """Head, middle and tail of a leaf as texts."""
         first = _FIXED.search(text)
         if not first:
-            return cls(text, None, "")
+            return text, None, ""
         a, width = first.start(), 256
         while True:  # the last fixed place, looked for from the end in growing windows
             low = max(a, len(text) - width)
             last = max((m.start() for m in _FIXED.finditer(text, low)), default=a if low == a else None)
             if last is not None:
-                return cls(text[:a], _ids(path, text[a:last]), text[last:])
+                return text[:a], text[a:last], text[last:]
             width *= 4
 
+    @classmethod
+    def leaf(cls, path: str, text: str) -> Encoded:
+        return cls.leaves(path, [text])[0]
+
+    @classmethod
+    def leaves(cls, path: str, texts: list[str]) -> list[Encoded]:
+        """Elements of many leaves, their middles encoded in one call."""
+        parts = [cls.parts(t) for t in texts]
+        ids = [e.ids for e in _tokenizer(path).encode_batch([m or "" for _, m, _ in parts], add_special_tokens=False)]
+        return [cls(h, None if m is None else i, t) for (h, m, t), i in zip(parts, ids, strict=True)]
+
     def join(self, path: str, right: Encoded) -> Encoded:
         """The window around the seam grows to the nearest fixed places; what lies outside is final."""
         if self.middle is not None and right.middle is not None:
@@ -90,12 +102,21 @@ class Encoded:
         return _ids(path, self.head) + (self.middle or []) + _ids(path, self.tail)
 
 
+def halves(text: str, leaf: int) -> list[str]:
+    """The text's leaves from left to right: it is halved until they are small."""
+    out, todo = [], [text]
+    while todo:
+        part = todo.pop()
+        if len(part) <= leaf:
+            out.append(part)
+        else:
+            todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+    return out
+
+
 def encode_text(path: str, text: str, leaf: int = LEAF_CHARS) -> Encoded:
-    """The text's element: halves are encoded recursively and joined."""
-    if len(text) <= leaf:
-        return Encoded.leaf(path, text)
-    half = len(text) // 2
-    return encode_text(path, text[:half], leaf).join(path, encode_text(path, text[half:], leaf))
+    """The text's element."""
+    return fold(path, Encoded.leaves(path, halves(text, leaf)))
 
 
 def fold(path: str, parts: list[Encoded]) -> Encoded:
@@ -113,6 +134,8 @@ def _list_array(lists: list[list[int]]) -> pa.Array:
 
 
 def _encode_rows(path: str, leaf: int, counts_only: bool):
+    """Rows of texts: their leaves are encoded together and joined text by text; a text of one leaf needs no joining."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = _tokenizer(path)
@@ -121,7 +144,11 @@ def _encode_rows(path: str, leaf: int, counts_only: bool):
                 part = batch.slice(low, 512)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 got = [e.ids for e in t.encode_batch([x if len(x) <= leaf else "" for x in texts], add_special_tokens=False)]
-                got = [encode_text(path, x, leaf).ids(path) if len(x) > leaf else g for x, g in zip(texts, got, strict=True)]
+                large = [k for k, x in enumerate(texts) if len(x) > leaf]
+                cuts = [halves(texts[k], leaf) for k in large]
+                elements = iter(Encoded.leaves(path, [x for c in cuts for x in c]))
+                for k, c in zip(large, cuts, strict=True):
+                    got[k] = fold(path, [next(elements) for _ in c]).ids(path)
                 value = pa.array([len(g) for g in got], pa.int64()) if counts_only else _list_array(got)
                 yield pa.RecordBatch.from_arrays([part.column(0), value], ["row", "value"])
 
@@ -129,19 +156,22 @@ def _encode_rows(path: str, leaf: int, counts_only: bool):
 
 
 def _leaves(leaf: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row, text in zip(pdf["row"], pdf["text"], strict=True):
-                yield pd.DataFrame({"row": row, "no": range(-(-len(text) // leaf)), "text": [text[i : i + leaf] for i in range(0, len(text), leaf)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                texts = halves(batch.column(2)[k].as_py(), leaf)
+                at = pa.array([k] * len(texts), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(range(len(texts)), pa.int32()), pa.array(texts, pa.string())], ["row", "at", "no", "text"])
 
     return run
 
 
 def _encode_leaves(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [Encoded.leaf(path, x) for x in pdf["text"]]
-            yield pd.DataFrame({"row": pdf["row"], "no": pdf["no"], "head": [e.head for e in done], "middle": [e.middle for e in done], "tail": [e.tail for e in done]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = Encoded.leaves(path, batch.column(3).to_pylist())
+            parts = [pa.array([e.head for e in done], pa.string()), pa.array([e.middle for e in done], pa.list_(pa.int32())), pa.array([e.tail for e in done], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *parts], ["row", "at", "no", "head", "middle", "tail"])
 
     return run
 
@@ -161,14 +191,16 @@ def encode(docs: DataFrame, key: str, text: str = "text", tokenizer: str | None
     long_text = F.coalesce(F.length("text") > spread, F.lit(False))
     small = rows.where(~long_text).mapInArrow(_encode_rows(path, leaf, counts_only), f"row {key_type}, value {kind}")
 
-    def join_leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no")
-        parts = [Encoded(h, None if m is None else list(m), t) for h, m, t in zip(pdf["head"], pdf["middle"], pdf["tail"], strict=True)]
+    def join_leaves(table: pa.Table) -> pa.Table:
+        table = table.sort_by("no")
+        parts = [Encoded(h, m, t) for h, m, t in zip(table["head"].to_pylist(), table["middle"].to_pylist(), table["tail"].to_pylist(), strict=True)]
         ids = fold(path, parts).ids(path)
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "value": [len(ids) if counts_only else ids]})
-
-    large = rows.where(long_text).withColumn("at", F.monotonically_increasing_id())
-    leaves = large.select(F.col("at").alias("row"), "text").mapInPandas(_leaves(leaf), "row long, no int, text string")
-    encoded = leaves.repartition("row", "no").mapInPandas(_encode_leaves(path), "row long, no int, head string, middle array<int>, tail string")
-    joined = encoded.withColumnRenamed("row", "at").groupBy("at").applyInPandas(join_leaves, f"at long, value {kind}")
-    return small.unionByName(large.select("row", "at").join(joined, "at").select("row", "value")).toDF(key, out)
+        value = pa.array([len(ids)], pa.int64()) if counts_only else pa.array([ids], pa.list_(pa.int32()))
+        return pa.table([table["row"].slice(0, 1), value], names=["row", "value"])
+
+    # The number of a long text is made once and goes with its leaves; nothing is joined by it afterwards.
+    large = rows.where(long_text).select("row", F.monotonically_increasing_id().alias("at"), "text")
+    leaves = large.mapInArrow(_leaves(leaf), f"row {key_type}, at long, no int, text string")
+    encoded = leaves.repartition(parallelism(docs.sparkSession)).mapInArrow(_encode_leaves(path), f"row {key_type}, at long, no int, head string, middle array<int>, tail string")
+    joined = encoded.groupBy("at").applyInArrow(join_leaves, f"row {key_type}, value {kind}")
+    return small.unionByName(joined).toDF(key, out)
