@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,8 @@ from srcloom.runtime import cut, parallelism
 #: Code pages a text is commonly misread as, and written in.
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman", "iso8859_2", "gbk", "shift_jis", "big5")
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp866", "koi8_r", "mac_roman", "iso8859_2")
-RUN = re.compile(r"[^\x00-\x7f]+")
+#: Runs of characters outside ASCII; those parted by a letter or two are one, as they bear each other out.
+RUN = re.compile(r"[^\x00-\x7f]++(?:[A-Za-z]{1,2}[^\x00-\x7f]++)*+")
 ROUNDS = 4
 #: Log odds, prior included, from which a reading is taken.
 MARGIN = 1.5
@@ -37,8 +39,11 @@ MARGIN = 1.5
 SLOTS = 1 << 21
 #: Smoothing mass of a context, and what the form of UTF-8 in a run of single-byte characters is worth, in nats.
 SMOOTH, UTF8_FORM = 3.0, 5.0
-#: Share of runs taken for garbled before the first round.
-FIRST_GUESS = 0.02
+#: Share of runs taken for garbled before the first round, and the most a source can come to; readings worth less are hopeless.
+FIRST_GUESS, MOST_PRIOR, WORTH = 0.02, 0.9, -12.0
+#: Posterior from which a run is taken out of the counts.
+SURE = 0.9
+LEARNED = "learned>"
 
 
 @lru_cache(maxsize=32)
@@ -169,14 +174,21 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of characters, of bigrams, and of the trigrams that hold a character outside ASCII: no others are asked for."""
     total = np.zeros(_UNIGRAMS + 2 * SLOTS, dtype=np.int64)
     for batch in batches:
         text = "\n\n" + "\n\n".join(x for x in batch.column(0).to_pylist() if x)
         for low in range(0, len(text), 1 << 20):
             codes = _codes(text[max(0, low - 2) : low + (1 << 20)])
             if len(codes) > 2:
-                places = np.concatenate([codes[2:].astype(np.int64), _slots(2, codes[1:-1], codes[2:]).ravel(), _slots(3, codes[:-2], codes[1:-1], codes[2:]).ravel()])
-                at, n = np.unique(places, return_counts=True)
+                wide = codes > 127
+                three = np.flatnonzero(wide[:-2] | wide[1:-1] | wide[2:])
+                pair, n = np.unique(codes[1:-1].astype(np.int64) << 21 | codes[2:], return_counts=True)
+                two = _slots(2, pair >> 21, pair & 0x1FFFFF)
+                total[: int(codes.max()) + 1] += np.bincount(codes[2:], minlength=int(codes.max()) + 1)
+                for places in two:
+                    np.add.at(total, places, n)
+                at, n = np.unique(_slots(3, codes[three], codes[three + 1], codes[three + 2]).ravel(), return_counts=True)
                 total[at] += n
     at = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
@@ -187,64 +199,125 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
             padded = f"\n\n{text}\n\n"
-            seen = {(padded[m.start() - 2 : m.start()], m.group(), padded[m.end() : m.end() + 2]) for m in RUN.finditer(padded)}
-            out += [(doc, source, *x) for x in seen]
-        yield pd.DataFrame(out, columns=["doc_id", "source", "before", "run", "after"])
-
-
-def _log_p(table: np.ndarray, total: float, text: str, start: int, less: int) -> float:
-    """Log probability of text from position start, by interpolated trigrams; less is taken off every count."""
-    codes = _codes(text)[start - 2 :]
+            seen = Counter((padded[m.start() - 2 : m.start()], m.group(), padded[m.end() : m.end() + 2]) for m in RUN.finditer(padded))
+            out += [(doc, source, *x, n) for x, n in seen.items()]
+        yield pd.DataFrame(out, columns=["doc_id", "source", "before", "run", "after", "n"])
+
+
+def _stretches(texts: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all texts, places from each text's start to its end, where each text's places begin)."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    codes = _codes("".join(texts)).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    wide = sizes - starts
+    first = np.cumsum(wide) - wide
+    return codes, np.arange(int(wide.sum())) + np.repeat(begin + starts - first, wide), first
+
+
+def _log_p(table: np.ndarray, total: float, texts: list[str], starts: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Log probability of each text from its start (2 at least), by interpolated trigrams; less is taken off every count."""
+    if not texts:
+        return np.zeros(0)
+    codes, at, first = _stretches(texts, starts)
+    less = np.repeat(less, np.diff(np.r_[first, len(at)]))
     off = lambda c: np.maximum(c.astype(np.float64) - less, 0)
-    uni, prev = off(table[codes[2:]]), off(table[codes[1:-1]])
-    bi, pair = off(table[_slots(2, codes[1:-1], codes[2:])].min(axis=0)), off(table[_slots(2, codes[:-2], codes[1:-1])].min(axis=0))
-    tri = off(table[_slots(3, codes[:-2], codes[1:-1], codes[2:])].min(axis=0))
+    c, b, a = codes[at], codes[at - 1], codes[at - 2]
+    uni, prev = off(table[c]), off(table[b])
+    bi, pair = off(table[_slots(2, b, c)].min(axis=0)), off(table[_slots(2, a, b)].min(axis=0))
+    tri = off(table[_slots(3, a, b, c)].min(axis=0))
     p1 = (uni + 0.01) / total
     p2 = (bi + SMOOTH * p1) / (np.maximum(prev, bi) + SMOOTH)
     p3 = (tri + SMOOTH * p2) / (np.maximum(pair, tri) + SMOOTH)
-    return float(np.log(p3).sum())
+    return np.add.reduceat(np.log(p3), first)
 
 
-def _attested(table: np.ndarray, text: str, n: int) -> bool:
-    """Whether most three-letter windows of the text occur in the corpus, at least as often as the run it is to replace."""
-    codes = _codes(text)
-    return float((table[_slots(3, codes[:-2], codes[1:-1], codes[2:])].min(axis=0) >= n).mean()) >= 0.6
+def _attested(table: np.ndarray, texts: list[str], n: np.ndarray) -> np.ndarray:
+    """Whether most three-letter windows of each text occur in the corpus, at least as often as the run it is to replace."""
+    if not texts:
+        return np.zeros(0, dtype=bool)
+    codes, at, first = _stretches(texts, np.full(len(texts), 2))
+    ok = table[_slots(3, codes[at - 2], codes[at - 1], codes[at])].min(axis=0) >= np.repeat(n, np.diff(np.r_[first, len(at)]))
+    return np.add.reduceat(ok.astype(np.float64), first) / np.diff(np.r_[first, len(at)]) >= 0.6
 
 
 def _plausible(before: str, run: str, text: str, after: str) -> bool:
-    """A swap gives letters or quotes and dashes for visible characters, and no small letter among capitals."""
+    """A swap gives letters or quotes and dashes for visible characters, no small letter among capitals and no letter for a sign by itself."""
     if run.isspace() or not all(c.isalpha() or c in "\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u00bf\u00a1\u00ab\u00bb\u3001\u3002\u30fc" or unicodedata.category(c)[0] in "MN" for c in text if c > "\x7f"):
         return False
     near = [c for c in before + after if c.isalpha()]
+    if len(run) == 1 and not run.isalpha() and not (before[-1:].isalpha() or after[:1].isalpha()):
+        return False  # a sign that stands by itself is a sign
     return not (near and all(c.isupper() for c in near) and run.isupper() and text.islower())
 
 
+_CASES = "before string, run string, after string, n long, swap string, reading string, kind tinyint"
+#: How a reading is judged: the form of UTF-8 speaks for it, most where the run holds signs and not only letters and quotes;
+#: one character of a double-byte page or a swap of single characters must be known text.
+FORM, LETTERS, ONE, SWAP, PLAIN = range(5)
+
+
+def _kind(swap: str, run: str) -> int:
+    if "utf_8" not in swap or swap[:4] == "part":
+        return SWAP
+    if len(run) == 1:
+        return ONE
+    if any(p in swap for p in ("gbk", "big5", "jis")):
+        return PLAIN
+    return LETTERS if all(c.isalpha() or c in "\u2018\u2019\u201c\u201d" for c in run) else FORM
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The readings of every run that page tables allow."""
+    for pdf in batches:
+        out = []
+        for before, run, after, n in zip(pdf["before"], pdf["run"], pdf["after"], pdf["n"], strict=True):
+            for swap, text in readings(run):
+                kind = _kind(swap, run)
+                if text and (kind != SWAP or _plausible(before, run, text, after)):
+                    out.append((before, run, after, n, swap, text, kind))
+        yield pd.DataFrame(out, columns=["before", "run", "after", "n", "swap", "reading", "kind"])
+
+
 def _score(shared):
+    """Adds to every case what its reading is worth over the text as it stands, in nats; hopeless ones go."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         total = float(table[:_UNIGRAMS].sum(dtype=np.float64)) + 1
         for pdf in batches:
-            out = []
-            for before, text, after, n in zip(pdf["before"], pdf["run"], pdf["after"], pdf["n"], strict=True):
-                found = readings(text)
-                if not found:
-                    continue
-                as_is = _log_p(table, total, before + text + after, len(before), n)
-                for h, t in found:
-                    gain = _log_p(table, total, before + t + after, len(before), n) - as_is
-                    if "utf_8" in h and h[:4] != "part" and len(text) > 1 and "gbk" not in h and "big5" not in h and "jis" not in h:
-                        gain += UTF8_FORM
-                    elif "utf_8" in h and h[:4] != "part" and len(text) == 1 and gain < 12 and not _attested(table, before[-1:] + t + after[:1], n):
-                        continue  # one character of a double-byte page: any will give some letter
-                    elif ("utf_8" not in h or h[:4] == "part") and gain > 0 and not (_plausible(before, text, t, after) and _attested(table, before[-1:] + t + after[:1], n)):
-                        continue  # a swap of single characters has no form of its own: its reading must be known text
-                    if gain > 0:
-                        out.append((before, text, after, h, t, gain))
-            yield pd.DataFrame(out, columns=["before", "run", "after", "swap", "reading", "gain"])
+            before, stands, after, reading = (pdf[c].tolist() for c in ("before", "run", "after", "reading"))
+            n, kind = pdf["n"].to_numpy(np.float64), pdf["kind"].to_numpy()
+            starts = np.fromiter(map(len, before), dtype=np.int64, count=len(before))
+            gain = _log_p(table, total, [b + t + a for b, t, a in zip(before, reading, after, strict=True)], starts, n)
+            gain -= _log_p(table, total, [b + t + a for b, t, a in zip(before, stands, after, strict=True)], starts, n)
+            gain[(kind == FORM) | (kind == LETTERS)] += UTF8_FORM
+            doubtful = np.flatnonzero((gain > WORTH) & ((kind == SWAP) | ((kind == ONE) | (kind == LETTERS)) & (gain < 12)))
+            known = _attested(table, [(before[k][-1:] + reading[k] + after[k][:1]) for k in doubtful], n[doubtful])
+            keep = gain > WORTH
+            keep[doubtful[~known]] = False
+            yield pdf[keep].assign(gain=gain[keep])[["before", "run", "after", "swap", "reading", "gain"]]
 
     return run
 
 
+def _moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What weighted readings take off the gram counts and add to them."""
+    for pdf in batches:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for column, sign in (("run", -1.0), ("reading", 1.0)):
+            texts = [b + t + a for b, t, a in zip(pdf["before"], pdf[column], pdf["after"], strict=True)]
+            if not texts:
+                continue
+            starts = np.fromiter(map(len, pdf["before"]), dtype=np.int64, count=len(texts))
+            codes, at, first = _stretches(texts, starts)
+            w = sign * np.repeat(pdf["weight"].to_numpy(np.float64), np.diff(np.r_[first, len(at)]))
+            places = np.concatenate([codes[at], *_slots(2, codes[at - 1], codes[at]), *_slots(3, codes[at - 2], codes[at - 1], codes[at])])
+            parts.append((places, np.tile(w, 5)))
+        if parts:
+            places, back = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+            yield pd.DataFrame({"slot": places.astype(np.int32), "n": np.bincount(back, weights=np.concatenate([w for _, w in parts]))})
+
+
 def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, decisions) for docs (doc_id, source, text).
 
@@ -253,28 +326,39 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     texts = docs.where("text IS NOT NULL AND text != ''").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    grams = texts.select("text").mapInArrow(_count_grams, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = grams.toArrow()  # at most as many rows as the table has places
+    got = texts.select("text").mapInArrow(_count_grams, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as the table has places
     table = np.zeros(_UNIGRAMS + 2 * SLOTS, dtype=np.float32)
     table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(table)
+    counted = table  # as the texts stand; every round takes the garbled runs it sees out of it
 
     key = ["before", "run", "after"]
-    occurrences = cut(texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(_runs, "doc_id long, source string, before string, run string, after string"))
-    types = occurrences.groupBy("source", *key).agg(F.count(F.lit(1)).alias("n"))
-    all_types = occurrences.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    scored = all_types.repartition(parallelism(spark), *key).mapInPandas(_score(shared), "before string, run string, after string, swap string, reading string, gain double")
-    cases = cut(types.join(scored, key))
-    runs = types.groupBy("source").agg(F.sum("n").alias("runs"))
-
-    prior = cases.select("source", "swap").distinct().withColumn("prior", F.lit(FIRST_GUESS) / F.lit(20.0))
-    w = Window.partitionBy("source", *key)
+    occurrences = cut(texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInPandas(_runs, "doc_id long, source string, before string, run string, after string, n long"))
+    types = cut(occurrences.groupBy("source", *key).agg(F.sum("n").alias("n")))
+    # Few rows with much work each: dealt out evenly, whatever their size in bytes.
+    spread = types.groupBy(*key).agg(F.sum("n").alias("n")).repartition(parallelism(spark))
+    cases = spread.mapInPandas(_read, _CASES)
+    cases = cut(cases.repartition(parallelism(spark)))
+    prior = None
     for k in range(rounds):
-        odds = cases.join(prior, ["source", "swap"]).withColumn("odds", F.exp(F.least(F.col("gain") + F.log("prior"), F.lit(300.0))))
-        post = odds.withColumn("post", F.col("odds") / (1 + F.sum("odds").over(w)))
+        shared = spark.sparkContext.broadcast(table)
+        scored = cases.mapInPandas(_score(shared), "before string, run string, after string, swap string, reading string, gain double")
+        odds = types.join(scored, key)
+        # A learned mapping holds for its own source.
+        odds = odds.where(~F.startswith("swap", F.lit(LEARNED)) | (F.substring("swap", len(LEARNED) + 1, 1 << 20) == F.col("source")))
+        first = F.lit(FIRST_GUESS / 20)
+        odds = odds.withColumn("prior", first) if prior is None else odds.join(prior, ["source", "swap"], "left").withColumn("prior", F.coalesce("prior", first))
+        odds = odds.withColumn("odds", F.exp(F.least(F.col("gain") + F.log(F.col("prior") / (1 - F.col("prior"))), F.lit(300.0))))
+        post = cut(odds.withColumn("post", F.col("odds") / (1 + F.sum("odds").over(Window.partitionBy("source", *key)))))
+        shared.unpersist()
         if k + 1 < rounds:
-            mass = post.groupBy("source", "swap").agg(F.sum(F.col("post") * F.col("n")).alias("mass"))
-            prior = cut(mass.join(runs, "source").select("source", "swap", ((F.col("mass") + FIRST_GUESS / 20) / (F.col("runs") + 1)).alias("prior")))
+            # Of the runs a swap could have made, those it is taken to have made.
+            mass = post.groupBy("source", "swap").agg(F.sum(F.col("post") * F.col("n")).alias("mass"), F.sum("n").alias("could"))
+            prior = cut(mass.select("source", "swap", F.least(F.lit(MOST_PRIOR), (F.col("mass") + first) / (F.col("could") + 1)).alias("prior")))
+            sure = post.where(F.col("post") > SURE).select(*key, "reading", (F.col("post") * F.col("n")).alias("weight"))
+            moved = sure.mapInPandas(_moved, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # bounded by the table
+            table = counted.copy()
+            np.add.at(table, moved.column("slot").to_numpy(), moved.column("n").to_numpy().astype(np.float32))
+            np.maximum(table, 0, out=table)
     best = post.groupBy("source", *key).agg(F.max_by(F.struct("swap", "reading", "odds"), F.struct("odds", "reading")).alias("b"))
     decisions = best.where(F.log("b.odds") >= MARGIN).select("source", *key, "b.swap", "b.reading")
     return occurrences, cut(decisions)
