@@ -1,14 +1,17 @@
 """Text decoded with the wrong character encoding: found and restored.
 
 An unknown swap of code pages is a substitution cipher: a unit of garbled text (one
-character, or the two to four characters of one UTF-8 letter) stands for a letter.
-Code-page tables give the letters a unit can stand for, each under a hypothesis
-(written as E, read as D).  Runs of non-ASCII characters are counted per source with
-their neighbours, so that the work after one pass over the texts depends on the
-distinct runs only.  Expectation-maximisation then learns, against bigram counts of the
-corpus, the prior of each hypothesis in each source: the E step weighs a run as it
-stands against its readings, the M step counts the weights and takes garbled runs out
-of the bigram counts.  Decisions are put into the texts with translation tables.
+character, or the two to four characters of one UTF-8 letter) stands for a letter.  Runs
+of non-ASCII characters are counted per source with their neighbours, so that the work
+after one pass over the texts depends on the distinct runs only.  Readings of a run have
+two origins.  Where a source has characters of its own, it may be written in a cipher
+throughout, and expectation-maximisation learns what letter each of its units stands for
+from the bigrams of the other sources.  For runs in sources that are garbled here and
+there code-page tables give the letters, each under a hypothesis (written as E, read as
+D).  A second expectation-maximisation learns the prior of each hypothesis in each
+source: the E step weighs a run as it stands against its readings, the M step counts the
+weights and takes the garbled runs out of the n-gram counts, so that they do not bear
+each other out.  Decisions are put into the texts with translation tables.
 """
 
 from __future__ import annotations
@@ -251,19 +254,20 @@ def _plausible(before: str, run: str, text: str, after: str) -> bool:
 
 
 _CASES = "before string, run string, after string, n long, swap string, reading string, kind tinyint"
-#: How a reading is judged: the form of UTF-8 speaks for it, most where the run holds signs and not only letters and quotes;
-#: one character of a double-byte page or a swap of single characters must be known text.
-FORM, LETTERS, ONE, SWAP, PLAIN = range(5)
+#: How a reading is judged: the form of UTF-8 speaks for it, but letters read as letters must be known text all the same;
+#: one character of a double-byte page or a swap of single characters must be known text.  A cipher's letters occur in its
+#: source alone and so bear out nothing but themselves: as it stands it counts for nothing, and its reading must be known text.
+FORM, LETTERS, ONE, SWAP, PLAIN, CIPHER = range(6)
 
 
-def _kind(swap: str, run: str) -> int:
+def _kind(swap: str, run: str, text: str) -> int:
     if "utf_8" not in swap or swap[:4] == "part":
         return SWAP
     if len(run) == 1:
         return ONE
     if any(p in swap for p in ("gbk", "big5", "jis")):
         return PLAIN
-    return LETTERS if all(c.isalpha() or c in "\u2018\u2019\u201c\u201d" for c in run) else FORM
+    return LETTERS if all(c.isalpha() or c in "\u2018\u2019\u201c\u201d" for c in run + text) else FORM
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +276,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for before, run, after, n in zip(pdf["before"], pdf["run"], pdf["after"], pdf["n"], strict=True):
             for swap, text in readings(run):
-                kind = _kind(swap, run)
+                kind = _kind(swap, run, text)
                 if text and (kind != SWAP or _plausible(before, run, text, after)):
                     out.append((before, run, after, n, swap, text, kind))
         yield pd.DataFrame(out, columns=["before", "run", "after", "n", "swap", "reading", "kind"])
@@ -288,11 +292,12 @@ def _score(shared):
             before, stands, after, reading = (pdf[c].tolist() for c in ("before", "run", "after", "reading"))
             n, kind = pdf["n"].to_numpy(np.float64), pdf["kind"].to_numpy()
             starts = np.fromiter(map(len, before), dtype=np.int64, count=len(before))
-            gain = _log_p(table, total, [b + t + a for b, t, a in zip(before, reading, after, strict=True)], starts, n)
-            gain -= _log_p(table, total, [b + t + a for b, t, a in zip(before, stands, after, strict=True)], starts, n)
+            cipher = kind == CIPHER
+            gain = _log_p(table, total, [b + t + a for b, t, a in zip(before, reading, after, strict=True)], starts, np.where(cipher, 0, n))
+            gain -= _log_p(table, total, [b + t + a for b, t, a in zip(before, stands, after, strict=True)], starts, np.where(cipher, 1e12, n))
             gain[(kind == FORM) | (kind == LETTERS)] += UTF8_FORM
-            doubtful = np.flatnonzero((gain > WORTH) & ((kind == SWAP) | ((kind == ONE) | (kind == LETTERS)) & (gain < 12)))
-            known = _attested(table, [(before[k][-1:] + reading[k] + after[k][:1]) for k in doubtful], n[doubtful])
+            doubtful = np.flatnonzero((gain > WORTH) & ((kind == SWAP) | (kind == LETTERS) | cipher | (kind == ONE) & (gain < 12)))
+            known = _attested(table, [(before[k][-1:] + reading[k] + after[k][:1]) for k in doubtful], np.where(cipher, 1, n)[doubtful])
             keep = gain > WORTH
             keep[doubtful[~known]] = False
             yield pdf[keep].assign(gain=gain[keep])[["before", "run", "after", "swap", "reading", "gain"]]
@@ -300,6 +305,142 @@ def _score(shared):
     return run
 
 
+# Ciphers -------------------------------------------------------------------------------------
+
+#: A character is a source's own if this share of its occurrences is there.  A source is a cipher if its own characters
+#: are this share of all it has, and if it has so many units; rarer ones than LEAST_COUNT are none.
+OWN_SHARE, CIPHER_SHARE, LEAST_COUNT, LEAST_UNITS, MOST_UNITS = 0.8, 0.5, 5, 8, 128
+#: Letters a unit can stand for, rounds of the EM, and the share of a unit's mass from which its letter is taken.
+MOST_LETTERS, CIPHER_ROUNDS, CLEAR = 160, 24, 0.6
+
+
+def _alphabet(table: np.ndarray, own: set[str]) -> str:
+    """The most frequent letters outside ASCII that no source has for itself."""
+    counts = table[:0x3000].copy()
+    counts[:128] = 0
+    letters = [chr(c) for c in np.argsort(-counts, kind="stable")[: 2 * MOST_LETTERS] if counts[c] > 0]
+    return "".join([c for c in letters if c.isalpha() and c not in own][:MOST_LETTERS])
+
+
+def _transitions(table: np.ndarray, letters: str) -> np.ndarray:
+    """P(b | a) for a, b among ASCII and the letters, by interpolated bigrams."""
+    codes = np.r_[np.arange(128), np.frombuffer(letters.encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
+    a, b = np.repeat(codes, len(codes)), np.tile(codes, len(codes))
+    uni = (table[codes] + 0.01) / (table[codes].sum() + 1)
+    bi = table[_slots(2, a, b)].min(axis=0).reshape(len(codes), -1).astype(np.float64)
+    return (bi + SMOOTH * uni) / (np.maximum(table[codes][:, None], bi.sum(axis=1, keepdims=True)) + SMOOTH)
+
+
+def _one_to_one(odds: np.ndarray, times: int = 5) -> np.ndarray:
+    """Rows of odds as shares; no letter may be taken by more than one unit's worth of them, which keeps the EM from giving all to a few letters."""
+    odds = odds / odds.sum(axis=1, keepdims=True)
+    for _ in range(times):
+        odds = odds / np.maximum(odds.sum(axis=0, keepdims=True), 1.0)
+        odds = odds / odds.sum(axis=1, keepdims=True)
+    return odds
+
+
+def _expect(shared):
+    """How often each unit of a source stands for each letter, by forward and backward sums over every run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters, step, ciphers = shared.value
+        place = {c: k for k, c in enumerate(letters)}
+        spot = lambda c: ord(c) if c < "\x80" else 128 + place[c] if c in place else 32
+        hidden = step[128:, 128:]
+        for pdf in batches:
+            mass: dict[tuple[str, str], np.ndarray] = {}
+            for source, before, text, after, n in zip(pdf["source"], pdf["before"], pdf["run"], pdf["after"], pdf["n"], strict=True):
+                units, odds = ciphers[source]
+                emit = [odds[units[c]] if c in units else np.eye(1, len(letters), place[c])[0] if c in place else None for c in text]
+                # ASCII between two stretches of a run parts it.
+                at = 0
+                while at < len(text):
+                    if emit[at] is None:
+                        at += 1
+                        continue
+                    end = at
+                    while end < len(text) and emit[end] is not None:
+                        end += 1
+                    left, right = spot(text[at - 1] if at else before[-1]), spot(text[end] if end < len(text) else after[0])
+                    forward, f = [], step[left, 128:] * emit[at]
+                    for k in range(at, end):
+                        f = f if k == at else (f @ hidden) * emit[k]
+                        f = f / max(f.sum(), 1e-300)
+                        forward.append(f)
+                    back = step[128:, right]
+                    for k in range(end - 1, at - 1, -1):
+                        p = forward[k - at] * back
+                        total = p.sum()
+                        if total > 0 and text[k] in units:
+                            key = (source, text[k])
+                            mass[key] = mass.get(key, 0) + n * p / total
+                        back = hidden @ (emit[k] * back)
+                        back = back / max(back.sum(), 1e-300)
+                    at = end
+            rows = [(s, u, k, m[k]) for (s, u), m in mass.items() for k in np.flatnonzero(m > 1e-4).tolist()]
+            yield pd.DataFrame(rows, columns=["source", "unit", "letter", "mass"])
+
+    return run
+
+
+def mappings(types: DataFrame, table: np.ndarray, rounds: int = CIPHER_ROUNDS) -> dict[str, dict[str, str]]:
+    """Unit to letter for every source that is written in a cipher: a page, known or not, taken for another throughout.
+
+    A cipher is a source most of whose characters hardly another source has.  Which letters
+    its units stand for is learned by expectation-maximisation against the bigrams of the
+    other sources, from a start by frequency.  A character is the own one of one source at
+    most and a cipher has MOST_UNITS at most, so what is collected is bounded by the number
+    of characters there are.
+    """
+    spark = types.sparkSession
+    char = F.explode(F.split("run", "")).alias("unit")
+    per = types.select("source", char, "n").where("unit > '\x7f'").groupBy("source", "unit").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("source")
+    per = per.withColumn("own", F.col("n") >= OWN_SHARE * F.sum("n").over(Window.partitionBy("unit")))
+    per = per.withColumn("cipher", F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).over(of) >= CIPHER_SHARE * F.sum("n").over(of))
+    per = per.where(F.col("cipher") & (F.col("n") >= LEAST_COUNT)).withColumn("units", F.count(F.lit(1)).over(of))
+    own: dict[str, dict[str, int]] = {}
+    alone = set()
+    for r in per.where(F.col("units").between(LEAST_UNITS, MOST_UNITS)).select("source", "unit", "n", "own").collect():  # bounded, see above
+        own.setdefault(r.source, {})[r.unit] = r.n
+        alone |= {r.unit} if r.own else set()
+    letters = _alphabet(table, alone)
+    if not own or not letters:
+        return {}
+    step = _transitions(table, letters)
+    share = np.log(np.array([table[ord(c)] for c in letters]) / sum(table[ord(c)] for c in letters))
+    ciphers = {}
+    for source, units in own.items():
+        of = np.log(np.array([units[u] for u in units]) / sum(units.values()))
+        odds = np.exp(-np.abs(of[:, None] - share[None, :]))
+        ciphers[source] = ({u: k for k, u in enumerate(units)}, odds / odds.sum(axis=1, keepdims=True))
+    held = cut(types.where(F.col("source").isin(*ciphers)).repartition(parallelism(spark)))
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((letters, step, ciphers))  # a row of letters for every unit
+        got = held.mapInPandas(_expect(shared), "source string, unit string, letter int, mass double").groupBy("source", "unit", "letter").agg(F.sum("mass").alias("mass")).collect()
+        odds = {s: np.full((len(u), len(letters)), 1e-6) for s, (u, _) in ciphers.items()}
+        for r in got:
+            odds[r.source][ciphers[r.source][0][r.unit], r.letter] += r.mass
+        ciphers = {s: (u, _one_to_one(odds[s])) for s, (u, _) in ciphers.items()}
+        shared.unpersist()
+    return {s: {u: letters[o[k].argmax()] for u, k in units.items() if o[k].max() >= CLEAR} for s, (units, o) in ciphers.items()}
+
+
+def _by_mapping(types: DataFrame, learned: dict[str, dict[str, str]]) -> DataFrame:
+    """The readings of a cipher's runs by its mapping; a run with a unit that has no clear letter has none."""
+    held = types.where(F.col("source").isin(*learned))
+    reading = unclear = None
+    for source, m in learned.items():
+        if m:
+            mine = F.translate("run", "".join(m), "".join(m.values()))
+            reading = F.when(F.col("source") == source, mine) if reading is None else reading.when(F.col("source") == source, mine)
+    if reading is None:
+        return types.limit(0).selectExpr("before", "run", "after", "n", "'' AS swap", "'' AS reading", f"cast({CIPHER} AS tinyint) AS kind")
+    rows = held.select("before", "run", "after", "n", F.concat(F.lit(LEARNED), "source").alias("swap"), reading.alias("reading"), F.lit(CIPHER).cast("tinyint").alias("kind"))
+    return rows.where(F.col("reading") != F.col("run"))
+
+
 def _moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What weighted readings take off the gram counts and add to them."""
     for pdf in batches:
@@ -337,6 +478,8 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     # Few rows with much work each: dealt out evenly, whatever their size in bytes.
     spread = types.groupBy(*key).agg(F.sum("n").alias("n")).repartition(parallelism(spark))
     cases = spread.mapInPandas(_read, _CASES)
+    if learned := mappings(types, table):
+        cases = cases.unionByName(_by_mapping(types, learned))
     cases = cut(cases.repartition(parallelism(spark)))
     prior = None
     for k in range(rounds):

@@ -124,3 +124,30 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert restored >= len(truth) - 1
     assert {r.doc_id for r in encoding.garbled_ids(df).collect()} == set(got)
     assert encoding.repair(df.limit(0)).isEmpty()
+
+
+WORDS = """после обновления проверьте что файл пропал из каталога сборка завершилась ошибкой потому разбор строки начинается перед запуском нужно удалить старые записи
+таблица хранит только последние значения каждого ключа если запрос повторяется сервер возвращает прежний ответ без нового чтения диска модуль читает настройки при старте
+затем ждёт сигнала очередь заполняется быстрее чем её успевают разбирать рабочие процессы индекс строится заново когда меняется схема данных""".split()
+
+
+def test_a_cipher_of_no_listed_page_is_learned(spark):
+    """A source written throughout in a page that no table names, and one whose own characters are no cipher."""
+    rng = random.Random(3)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(25)) + "."
+    german = "für die größe der häuser müssen wir prüfen ob das möglich wäre".split()
+    greek = "το αρχείο λείπει από τον κατάλογο και πρέπει να ελέγξετε τις ρυθμίσεις πριν ξεκινήσει".split()
+    docs = [(i, "abc"[i % 3], text(WORDS if i % 2 else german)) for i in range(260)] + [(5000 + i, "greek", text(greek)) for i in range(40)]
+    truth = {1000 + i: text(WORDS) for i in range(60)}
+    assert "iso8859_5" not in encoding.READ_AS + encoding.WRITTEN_IN
+    docs += [(k, "g", t.encode("iso8859_5").decode("latin-1")) for k, t in truth.items()]
+    got = {r.doc_id: r for r in encoding.repair(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()}
+    assert set(got) == set(truth)
+    # Letters that occur a handful of times stay unclear.
+    right = sum(a == b for k, t in truth.items() for a, b in zip(got[k].restored, t, strict=True))
+    assert right >= 0.97 * sum(map(len, truth.values())) and "learned>g" in got[1000].swaps
+
+
+def test_frequent_phrases_are_no_swaps(spark):
+    docs = [(i, "ab"[i % 2], f"La tâche reste bloquée à l’étape {i}. § 3 ¬ 5 £") for i in range(300)] + [(900 + i, "a", f"После шага {i} к пятому файлу.") for i in range(50)]
+    assert encoding.repair(spark.createDataFrame(docs, "doc_id long, source string, text string")).isEmpty()
