@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,8 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from srcloom.functions.paths import INCLUDE_SUFFIXES, LANGUAGES, SKIP_DIRS
 
 SCHEMA = "repo_id string, file_path string, language string, text string"
-#: Files and bytes a partition holds at most, whichever comes first; a larger file is a partition of its own.
-BATCH_FILES, BATCH_BYTES = 2000, 64 << 20
+#: Levels of the tree the driver lists; what lies deeper is walked by the tasks, in so many partitions at most.
+LISTED_LEVELS, MOST_PARTITIONS = 2, 1024
 
 
 def file_suffix(name: str) -> str:
@@ -24,19 +25,34 @@ def file_suffix(name: str) -> str:
     return "." + last.lower() if dot and stem else ""
 
 
-def walk(root: str) -> Iterator[tuple[str, int]]:
-    """(relative path, bytes) of the kept files below root, in a fixed order."""
+def _kept(folder: str, dirs: list[str], names: list[str]) -> tuple[list[str], list[str]]:
+    """Directories to descend into and files to keep of a folder, in a fixed order."""
+    inside = sorted(x for x in dirs if x not in SKIP_DIRS and not x.startswith("."))
+    return inside, [os.path.join(folder, x) for x in sorted(names) if file_suffix(x) in INCLUDE_SUFFIXES]
+
+
+def walk(root: str, below: str | None = None) -> Iterator[str]:
+    """Paths, relative to root, of the kept files in the folder below (root itself if none is given) and under it."""
     root = os.path.realpath(root)
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(x for x in dirs if x not in SKIP_DIRS and not x.startswith("."))
-        for name in sorted(names):
-            if file_suffix(name) in INCLUDE_SUFFIXES:
-                path = os.path.join(folder, name)
-                try:
-                    size = os.path.getsize(path)
-                except OSError:
-                    size = 0
-                yield os.path.relpath(path, root), size
+    for folder, dirs, names in os.walk(below or root):
+        dirs[:], files = _kept(folder, dirs, names)
+        for path in files:
+            yield os.path.relpath(path, root)
+
+
+def shares(root: str) -> list[tuple[list[str], list[str]]]:
+    """(folders, files) per partition: the folders at the last listed level and the files above them."""
+    level, files = [os.path.realpath(root)], []
+    for _ in range(LISTED_LEVELS):
+        deeper = []
+        for folder in level:
+            entries = list(os.scandir(folder))
+            inside, here = _kept(folder, [e.name for e in entries if e.is_dir(follow_symlinks=False)], [e.name for e in entries if e.is_file()])
+            deeper += [os.path.join(folder, d) for d in inside]
+            files += here
+        level = deeper
+    n = max(1, min(MOST_PARTITIONS, len(level) + (len(files) > 0)))
+    return [(level[k::n], files[k::n]) for k in range(n)]
 
 
 def load_text(path: str) -> str | None:
@@ -49,31 +65,25 @@ def load_text(path: str) -> str | None:
     return None if "\0" in text else text
 
 
-class Batch(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class Share(InputPartition):
+    def __init__(self, folders: list[str], files: list[str]):
+        self.folders, self.files = folders, files
 
 
 class RepoReader(DataSourceReader):
+    """Reads a tree on a file system all executors share."""
+
     def __init__(self, root: str, repo_id: str):
         self.root, self.repo_id = os.path.realpath(root), repo_id
         if not os.path.isdir(self.root):
             raise ValueError(f"no such folder: {root}")
 
-    def partitions(self) -> list[Batch]:
-        batches: list[Batch] = []
-        paths: list[str] = []
-        held = 0
-        for path, size in walk(self.root):
-            if paths and (len(paths) >= BATCH_FILES or held + size > BATCH_BYTES):
-                batches.append(Batch(paths))
-                paths, held = [], 0
-            paths.append(path)
-            held += size
-        return [*batches, Batch(paths)]
-
-    def read(self, partition: Batch) -> Iterator[tuple]:
-        for path in partition.paths:
+    def partitions(self) -> list[Share]:
+        return [Share(*x) for x in shares(self.root)]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        paths = chain((os.path.relpath(f, self.root) for f in partition.files), *(walk(self.root, d) for d in partition.folders))
+        for path in paths:
             yield self.repo_id, path.replace(os.sep, "/"), LANGUAGES.get(file_suffix(os.path.basename(path)), "unknown"), load_text(os.path.join(self.root, path))
 
 

@@ -25,7 +25,7 @@ def tree(tmp_path):
 
 
 def test_walk_and_load(tree):
-    names = [p for p, _ in walk(str(tree))]
+    names = list(walk(str(tree)))
     assert "pkg/__init__.py" in names and "bad.py" in names and not any("skip" in n or "png" in n for n in names)
     assert load_text(str(tree / "bad.py")) is None and load_text(str(tree / "gone")) is None
 
@@ -61,10 +61,15 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("f", "r", "a", 9, "function", "2025-01-03 00:00:00")], schema.replace("timestamp", "string")).withColumn("ingested_at", F.to_timestamp("ingested_at")).write.mode("append").parquet(src)
     upsert_symbols(stream(), out, str(tmp_path / "ck")).awaitTermination()
     assert {(r.symbol_name, r.start_line) for r in current(spark, out).collect()} == {("f", 9), ("g", 2)}
+    spark.createDataFrame([("f", "r", "a", 2, "function", "2024-01-03 00:00:00"), ("h", "q", "a", 2, "class", "2025-01-03 00:00:00")], schema.replace("timestamp", "string")).withColumn("ingested_at", F.to_timestamp("ingested_at")).write.mode("append").parquet(src)
+    upsert_symbols(stream(), out, str(tmp_path / "ck")).awaitTermination()
+    assert {(r.symbol_name, r.start_line) for r in current(spark, out).collect()} == {("f", 9), ("g", 2), ("h", 2)}
+    kept = sorted(p.parent.name + p.name for p in (tmp_path / "out").glob("part=*/v=*"))
+    assert len(kept) == 3, "of every part the newest version and the one before"
     for name, df in (("once", distinct_stream(stream(), ["symbol_name", "file_path"])), ("per_day", window_counts(stream()))):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
-    assert spark.table("once").count() == 2 and spark.table("per_day").columns == ["repo_id", "starts_at", "n"]
+    assert spark.table("once").count() == 3 and spark.table("per_day").columns == ["repo_id", "starts_at", "n"]
 
 
 def test_second_ingest_replaces_tables_that_become_empty(spark, tree, tmp_path):
@@ -114,3 +119,20 @@ def test_model_embedder(spark):
     rows = spark.createDataFrame([(f"c{i:03}", "x" * i) for i in range(130)] + [("n", None)], "chunk_id string, text string")
     got = {r.chunk_id: list(r.embedding) for r in embedder(rows).collect()}
     assert embedder.dimension == 2 and got["c129"] == [129.0, 1.0] and got["n"] == [0.0, 1.0] and len(got) == 131
+
+
+def test_deep_trees_are_walked_by_the_tasks(spark, tmp_path):
+    from srcloom.sources.repo import register, shares
+
+    files = {"a.py", "p/b.py", "p/q/c.py", "p/q/r/s/d.py", "x/y/e.md", "x/y/node_modules/no.py", "x/.git/no.py"}
+    for f in files:
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x = 1\n")
+    got = shares(str(tmp_path))
+    assert sorted(len(folders) for folders, _ in got) == [0, 1, 1] and sum(len(f) for _, f in got) == 2
+    register(spark)
+    rows = spark.read.format("repo").option("repo_id", "r").load(str(tmp_path))
+    assert {r.file_path for r in rows.collect()} == {f for f in files if "no.py" not in f}
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert spark.read.format("repo").load(str(empty)).isEmpty()
