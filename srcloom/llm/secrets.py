@@ -39,6 +39,7 @@ PATTERNS: dict[str, str] = {
     "bare": r"(?im)^[ \t]*(?:(?:#|//|\*|--|;|-)\s*)?(?:export\s+|set\s+|ENV\s+|-\s+)?(?P<name>[\w.-]*" + _NAME + r"[\w-]*)\s*[=:]\s*(?P<value>[^\s'\"`(){}\[\],;<>|]{6,})[ \t]*(?:#.*)?$",
     "prose": r"(?i)(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s+(?:is|was)\s+`?[\"'`](?P<value>[^\s'\"`]{6,})[\"'`]",
     "login": r"(?i)\b(?:login|logon|account|access|credentials?|creds|user(?:name)?)\s*[:=]\s*[\w.@-]{2,60}\s*(?:/|:|\s)\s*(?P<value>[^\s'\"`<>]{8,})",
+    "table": r"(?im)\|[ \t]*[`*]{0,2}(?P<name>[\w.-]*" + _NAME + r"[\w-]*)[`*]{0,2}[ \t]*\|[ \t]*[`*]{0,2}(?P<value>[^\s|`*]{6,})[`*]{0,2}[ \t]*(?:\||$)",
     "remark": r"(?im)(?:#|//|/\*|\*|<!--)[^\n]{0,120}?\b(?P<name>[\w-]*" + _NAME + r"[\w-]*)\s*(?:is\s|was\s|[=:])\s*[\"'`]?(?P<value>[^\s'\"`(){}\[\],;<>|]{8,})",
 }
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
@@ -53,15 +54,17 @@ _ANCHOR = re.compile(
 )
 _WORD = re.compile(r"[\w.-]+")
 #: What can follow a secret's name: an assignment, "is", or a value with a digit.
-_FOLLOWED = re.compile(r"[\"'`]?\]?(?:\s*[:=]|\s+(?:is|was)\b|\s+[\"']?[^\s\"']*\d)")
-_KINDS_OF = {"name": ("assigned", "flag", "bare", "prose", "remark", "connection"), "key": ("provider_key",), "jwt": ("web_token",), "url": ("url",), "basic": ("basic",), "bearer": ("bearer",), "pem": ("private_key",), "login": ("login",)}
+_FOLLOWED = re.compile(r"[\"'`]?\]?(?:[`*]{0,2}[ \t]*\||\s*[:=]|\s+(?:is|was)\b|\s+[\"']?[^\s\"']*\d)")
+_KINDS_OF = {"name": ("assigned", "flag", "bare", "prose", "table", "remark", "connection"), "key": ("provider_key",), "jwt": ("web_token",), "url": ("url",), "basic": ("basic",), "bearer": ("bearer",), "pem": ("private_key",), "login": ("login",)}
 
 #: Words a secret's name ends in, and words that make a key one.
 _LAST = {"password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "credential", "credentials", "accesskey", "secretkey", "passwort", "pass", "pw", "passe", "kennwort", "contrasena", "contraseña", "senha", "haslo", "heslo", "parola", "losenord", "lykilord", "sifre"}
 _KEY_OF = {"api", "access", "secret", "signing", "private", "service", "encryption", "account", "deploy", "master", "auth", "storage", "billing", "cloud", "pay", "license"}
+#: Words that stand before a secret's name without a mark between.
+_OWNERS = {"client", "app", "user", "db", "database", "admin", "root", "refresh", "bearer", "session", "bot", "webhook", "shared", "consumer", "jwt", "smtp", "redis", "mysql", "postgres", "mongo", "ssh"}
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.#_\-0]+|(?:x{2,}[-_.]?)+|<.*>?|\$.*|%.*%|\{.*|.*\$\{.*|.*\{\{.*|your[-_ ]?.*|.*change[-_ ]?me.*|.*replace[-_ ]?me.*|.*example.*|dummy.*|placeholder.*|todo.*|none|null|undefined|true|false|"
-    r"(?:my[-_]?)?(?:pass|password|passwd|secret|token|user|username|api[-_]?key|key|credentials?|pwd|changeit|redacted.*|hidden|masked)[-_]?(?:here)?|insert.*|fill.*|enter.*|(?:vault|env|ref|ssm|arn|secret|secrets|file|kms|aws|gcp|op)[:/].*|process\.env.*|os\.(?:environ|getenv).*|https?://.*|\.{0,2}/.*)$"
+    r"(?:my[-_]?)?(?:pass|password|passwd|secret|token|user|username|api[-_]?key|key|credentials?|pwd|changeit|redacted.*|hidden|masked)[-_]?(?:here)?|insert.*|fill.*|enter.*|(?:vault|env|ref|ssm|arn|secret|secrets|file|kms|aws|gcp|op)[:/].*|process\.env.*|os\.(?:environ|getenv).*|https?://.*|\.{0,2}/(?![A-Za-z0-9+/]{24,}={0,2}$).*)$"
 )
 _NO_SECRET = re.compile(r"(?i)^(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|(?:sha\d+|md5)[-:].*|\d[\d._:-]*|abcdefgh.*|0123456789.*)$")
 
@@ -73,7 +76,7 @@ def _is_secret_name(name: str) -> bool:
     if words[-1] in ("wd", "w") and len(words) > 1 and words[-2].endswith("p"):
         words[-2:] = [words[-2] + words[-1]]
     last = words[-1].rstrip("0123456789")
-    if last in _LAST:
+    if last in _LAST or len(words) == 1 and any(last.endswith(w) and last[: -len(w)] in _KEY_OF | _OWNERS for w in _LAST):
         return "public" not in words and not (last == "token" and words[:-1] and words[-2] in {"max", "min", "next", "page", "csrf", "num"})
     return last == "key" and any(w in _KEY_OF for w in words[:-1])
 
@@ -92,6 +95,11 @@ def _usable(value: str, strict: bool) -> bool:
     return (kinds >= 3 or (kinds == 2 and (digit or len(value) >= 12))) and len(value) >= 6
 
 
+def _shuffled(value: str) -> bool:
+    """Whether letters change between small and capital as they do in no word; enough where a place is a password's own."""
+    return len(value) >= 8 and sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:], strict=False)) >= 3 and not _PLACEHOLDER.match(value)
+
+
 _ADDED = re.compile(r"[\"'`]?\s*\+?\s*([\"'`])([^\"'`\n]{2,})\1")
 
 
@@ -172,7 +180,7 @@ def _judge(kind: str, m: re.Match, text: str, suffix: str) -> list[tuple[int, in
         except (binascii.Error, UnicodeDecodeError):
             return []
         user, colon, word = plain.partition(":")
-        if not colon or not plain.isprintable() or not _usable(word, False):
+        if not colon or not plain.isprintable() or not (_usable(word, False) or _shuffled(word)):
             return []
     elif kind in ("provider_key", "web_token"):
         if len(set(value[8:])) < 6 or "EXAMPLE" in value:
@@ -182,12 +190,12 @@ def _judge(kind: str, m: re.Match, text: str, suffix: str) -> list[tuple[int, in
         if not _usable(value + "".join(text[a:b] for a, b in added), False):
             return []
         found += [(a, b, "continued") for a, b in added]
-    elif kind in ("bare", "flag", "remark", "bearer", "prose", "login"):
+    elif kind in ("bare", "flag", "remark", "bearer", "prose", "table", "login"):
         if suffix in ("py", "ts", "tsx", "js", "jsx") and kind == "bare" and not re.match(r"[ \t]*(?:#|//|\*|--)", m.group()):
             return []
         if not _usable(value, True) and not (kind == "prose" and _usable(value, False)):
             return []
-    elif not _usable(value, False):
+    elif not _usable(value, False) and not (kind in ("url", "connection") and _shuffled(value)):
         return []
     return found
 
