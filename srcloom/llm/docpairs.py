@@ -34,7 +34,10 @@ _MODS = r"(?:(?:export|default|declare|public|private|protected|static|async|ove
 _JS_FUNC = re.compile(r"[ \t]*" + _MODS + r"function\b\s*\*?\s*([\w$]+)\s*")
 _JS_CONST = re.compile(r"[ \t]*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=\n]*(?:=>[^=\n]*)?)?=(?!=)\s*(async\b\s*)?(function\b|(?=[(<])|[\w$]+\s*=>)")
 _JS_METHOD = re.compile(r"[ \t]*" + _MODS + r"\*?\s*(#?[\w$]+)\s*\??\s*(?=[(<])")
-_JS_CLASS = re.compile(r"\bclass\s+([\w$]+)(?:\s*<[^>{]*>)?(?:\s+extends\s+([\w$.]+))?[^{]*\{")
+_JS_CLASS = re.compile(r"\b(?:class|interface)\s+([\w$]+)([^{]*)\{")
+_JS_BASES = re.compile(r"\b(?:extends|implements)\s+([\w$.\s,]+?)(?=\s*(?:\bimplements\b|$))")
+#: A method without a body, in an interface or an abstract class.
+_JS_SIGNATURE = re.compile(r"[ \t]*(?:(?:public|protected|abstract|readonly|async|static)\s+)*([\w$]+)\??\s*(?:[(<]|:\s*(?:\(|<))")
 _NOT_METHOD = {"if", "for", "while", "switch", "catch", "return", "function", "with", "await", "typeof", "new", "super", "do", "else", "throw", "import"}
 _WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"\s*[:@][^\W\d_]")
@@ -371,15 +374,22 @@ def _js_target(masked: str, at: int, closes: dict[int, int]) -> tuple[str, int,
     return (name, at_name, behind[1], kind) if behind and behind[0] == "{" else None
 
 
+def _js_bases(head: str) -> list[str]:
+    """Classes and interfaces a class's head names, in order; type arguments are left out."""
+    while (plain := re.sub(r"<[^<>]*>", "", head)) != head:
+        head = plain
+    return [b.strip() for m in _JS_BASES.finditer(head.rstrip()) for b in m.group(1).split(",") if b.strip()]
+
+
 def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
-    """As python_functions, for TypeScript and JavaScript."""
+    """As python_functions, for TypeScript and JavaScript.  Documented methods without a body are of the kind signature."""
     masked, docs, inside = _mask(_JS_MASK, text)
     closes, inside = _closes(masked), set(inside)
     classes, spans = [], []
     for m in _JS_CLASS.finditer(masked):
         end = closes.get(m.end() - 1, -1)
         spans.append((m.start(), end if end > 0 else len(masked), m.group(1)))
-        classes.append((m.group(1), [m.group(2)] if m.group(2) else []))
+        classes.append((m.group(1), _js_bases(m.group(2))))
     documented = {}
     for a, b in docs:
         line = text.find("\n", b)
@@ -397,6 +407,11 @@ def js_functions(text: str) -> tuple[list[tuple], list[tuple]]:
     for at in sorted(starts):
         target = _js_target(masked, at, closes)
         if not target:
+            sign = _JS_SIGNATURE.match(masked, at) if at in documented else None
+            owner = min(((e - s, c) for s, e, c in spans if s < at < e), default=(0, None))[1]
+            if sign and owner and sign.group(1) not in _NOT_METHOD:
+                doc = "\n".join(re.sub(r"^\s*\*? ?", "", x) for x in documented[at].split("\n")).strip()
+                functions.append((sign.group(1), text.count("\n", 0, sign.start(1)) + 1, "signature", owner, doc, at, at))
             continue
         name, place, body, kind = target
         owner = min(((e - s, c) for s, e, c in spans if s < place < e), default=(0, None))[1]
@@ -450,8 +465,8 @@ def doc_pairs(chunks: DataFrame, least_words: int = LEAST_WORDS, with_code: bool
 
     One row per function or method of the Python, TypeScript and JavaScript files whose
     documentation has at least least_words words.  doc_from is 'own', or 'Base.method' for
-    documentation inherited from the nearest base class of the repository that documents
-    the method.  A base is looked for in the same file, then where imports lead, inside
+    documentation inherited from the nearest base class or interface of the repository that
+    documents the method.  A base is looked for in the same file, then where imports lead, inside
     an imported package, and only then by its name in the repository, where the smallest
     path counts.  A default import is taken for the class of its name.
     Functions without such documentation are dropped, as are null contents and paths.
@@ -461,6 +476,7 @@ def doc_pairs(chunks: DataFrame, least_words: int = LEAST_WORDS, with_code: bool
     found = cut(files.mapInPandas(_extract(with_code), _FOUND).distinct())
     functions = found.where("kind != 'class'").drop("bases", "keys")
     own = functions.where(F.col("n_words") >= least_words).withColumn("doc_from", F.lit("own"))
+    functions = functions.where("kind != 'signature'")
     key = F.coalesce("repo_id", F.lit(""))
     bases = _bases(found.where("kind = 'class'").withColumn("r", key))
     w = Window.partitionBy("r", "file_path", "class_name", "symbol_name").orderBy("start_line")
@@ -482,5 +498,5 @@ def doc_pairs(chunks: DataFrame, least_words: int = LEAST_WORDS, with_code: bool
             break
         seen = seen.unionByName(open_)
     inherited = lacking.join(hits, method).select("repo_id", "file_path", "symbol_name", "start_line", "kind", "class_name", F.col("b.d").alias("doc"), F.col("b.nw").alias("n_words"), "code", F.concat("b.base", F.lit("."), "symbol_name").alias("doc_from"))
-    result = own.unionByName(inherited)
+    result = own.where("kind != 'signature'").unionByName(inherited)
     return result.select("repo_id", "file_path", "symbol_name", "start_line", "kind", "code", "doc", "n_words", "doc_from").distinct()

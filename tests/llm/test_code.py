@@ -187,6 +187,16 @@ def test_bases_are_those_of_the_file_and_its_imports(spark):
     assert got == {k: (v, "Base.run") for k, v in want.items()} | {"w/y.ts": ("w", "Shape.draw")}
 
 
+def test_interfaces_document_what_implements_them(spark):
+    files = {
+        "a.ts": "export interface Store<T> extends Closes {\n  /** Puts one value under the given key. */\n  put(key: string, value: T): void;\n}\nexport interface Closes {\n  /** Gives back every handle that is held. */\n  close: () => void;\n}\n",
+        "b.ts": 'import { Store } from "./a";\nexport class Disk extends Base<Map<string, number>> implements Store<number>, Other {\n  put(key: string, value: number): void {\n    this.x = value;\n  }\n  close() {\n    return 1;\n  }\n  size() {\n    return 2;\n  }\n}\n'
+        "abstract class Base<T> {\n  /** Counts the rows that are stored. */\n  abstract size(): number;\n}\n",
+    }
+    got = {(r.file_path, r.symbol_name, r.doc_from, r.kind) for r in docpairs.doc_pairs(chunks(spark, files)).collect()}
+    assert got == {("b.ts", "put", "Store.put", "method"), ("b.ts", "close", "Closes.close", "method"), ("b.ts", "size", "Base.size", "method")}
+
+
 def test_long_chains_of_bases_are_climbed(spark):
     text = 'class C0:\n    def m(self):\n        """Four words stand here."""\n' + "".join(f"class C{k}(C{k - 1}):\n    pass\n" for k in range(1, 70)) + "class Last(C69):\n    def m(self):\n        pass\n"
     assert [r.doc_from for r in docpairs.doc_pairs(chunks(spark, {"a.py": text})).collect() if r.doc_from != "own"] == ["C0.m"]
