@@ -29,7 +29,7 @@ K = 10
 LIST_SIZE, PROBES, GROWTH = 512, 28, 0.4
 #: Members of a region and queries of a slice, at most, as estimated from the sample; a task holds both.
 #: Every slice beyond the first gets a copy of the members, so slices are made for regions that many probe only.
-BLOCK_SIZE, SLICE_SIZE = 24_576, 98_304
+BLOCK_SIZE, SLICE_SIZE = 32_768, 196_608
 #: Half-precision similarities are this close to the exact ones.
 HALF_ERROR = 0.004
 #: The index is fitted on at most this many vectors and has at most this many lists.

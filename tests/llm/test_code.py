@@ -398,3 +398,42 @@ def test_similar_pairs(spark, vectors):
     chunks_of = spark.createDataFrame([("c00004",), ("c00005",), ("c00007",)], "chunk_id string")
     assert [tuple(r) for r in neighbours.similar_pairs(vectors.drop("id"), chunks_of).collect()] == [("c00004", "c00005")]
     assert neighbours.similar_pairs(vectors.drop("id").limit(0)).isEmpty() and neighbours.neighbours(vectors.drop("id").limit(0)).isEmpty()
+
+
+def test_regions_and_slices_are_bounded():
+    """However dense a part of the space is, a task holds one region's members and one slice of queries."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    centres, n = rng.normal(size=(60, 64)), 40_000
+    share = np.r_[1 / 3, np.full(59, 2 / 3 / 59)]  # one cluster holds a third of all
+    x = (centres[rng.choice(60, n, p=share)] + rng.normal(size=(n, 64)) * 0.5).astype(np.float32)
+    sample = x[rng.choice(n, 8000, replace=False)]
+    index = neighbours.fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), n, list_size=128, block_size=2000, slice_size=4000)
+
+    class Shared:
+        value = index
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64)], ["id", "e"])
+    members, queries = {}, {}
+    homes = np.zeros(n, dtype=int)
+    for out in neighbours._send(Shared)(iter([batch])):
+        for region, block, part, key, home, probes in zip(*[out.column(i).to_pylist() for i in range(6)], strict=True):
+            members[region, block, part] = members.get((region, block, part), 0) + (home >= 0)
+            queries[region, block, part] = queries.get((region, block, part), 0) + (len(probes) > 0)
+            homes[key] += home >= 0 and len(probes) > 0 and block >= 0
+    assert max(members.values()) <= 1.3 * 2000 and max(queries.values()) <= 1.3 * 4000 and len(queries) > 20
+    assert (homes <= 1).all()
+
+
+def test_exact_neighbours(spark, vectors):
+    rows = vectors.where("chunk_id LIKE 'c%'").drop("id").limit(400)
+    got = {r.chunk_id: [e.chunk_id for e in r.neighbours] for r in neighbours.neighbours(rows, exact=True).collect()}
+    u = neighbours.usable(rows).toPandas()
+    ids, x = u.chunk_id.to_numpy(), np.stack(u.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, len(ids), 20):
+        s = x @ x[i]
+        s[i] = -3
+        kth = np.sort(s)[-10]
+        assert all(s[list(ids).index(o)] >= kth - 2 * neighbours.HALF_ERROR for o in got[ids[i]])
