@@ -32,7 +32,6 @@ def _list(xs) -> str:
 
 
 REPO = "quillmark-core"
-QUESTION = "Which file merges the schema?"
 
 # Paths -----------------------------------------------------------------------------------
 
@@ -212,9 +211,6 @@ def _symbols_sql(suffixes: tuple[str, ...], fn: str, cl: str) -> str:
         FROM (SELECT *, {fn} AS f, {cl} AS c FROM {_line_sql(suffixes)}) WHERE f != '' OR c != ''"""
 
 
-_B = r"(?:[\s\x{0b}])"
-
-
 @_q(_symbols_sql(_PY, r"regexp_extract(line, '^def\s+(\w+)\s*\(', 1)", r"regexp_extract(line, '^class\s+(\w+)', 1)"))
 def symbols_regex_py(spark: SparkSession, d: str) -> DataFrame:
     return symbols.regex_symbols(_files(spark, d, _PY), True)
