@@ -121,6 +121,9 @@ _TYPE_ENDS = frozenset("NAME W STR NUM T ) ] } > ? !".split())
 _TYPE_STARTS = frozenset("NAME W STR NUM [ ( < + -".split())
 
 
+_GENERIC_STRETCH = re.compile(r"[\w$\s,.\[\]|&<>{}:;\"'?=()-]*+")
+
+
 class _Script:
     """One pass over a TypeScript or JavaScript text with the bracket context that tells tokens apart."""
 
@@ -132,6 +135,7 @@ class _Script:
         self.ends = [m.start() for m in re.finditer("\n", text)]
         self.todo = [(0, len(text), "START", "END")]  # stretches still to be lexed: expressions inside templates and elements are sequences of their own
         self.declared = False
+        self.no_generic = -1  # up to here no type argument list before a call is left
 
     def line(self, at: int) -> int:
         return bisect_left(self.ends, at) + 1
@@ -163,7 +167,8 @@ class _Script:
         return -1
 
     def type(self, at: int) -> int:
-        """Place behind the type expression at at, or -1."""
+        """Place behind the type expression at at, or -1; conditions inside one another wait on a stack."""
+        waits: list[str] = []
         while True:
             at, _ = self.gap(at)
             while m := _LOOK_0.match(self.t, at):
@@ -208,24 +213,37 @@ class _Script:
                     at = end
                     continue
                 break
-            nxt, new = self.gap(at)
+            nxt, _ = self.gap(at)
             if m := _LOOK_3.match(self.t, nxt):
-                at = self.type(m.end())
-                if at < 0:
-                    return -1
-                nxt, new = self.gap(at)
-                if m.group() == "extends" and self.t.startswith("?", nxt):
-                    at = self.type(nxt + 1)
-                    nxt, _ = self.gap(at) if at >= 0 else (-1, False)
-                    if at < 0 or not self.t.startswith(":", nxt):
-                        return -1
-                    at = nxt + 1  # the last branch is a type like any other
-                    continue
-                nxt, new = self.gap(at)
+                waits.append(m.group())
+                at = m.end()
+                continue
             if self.t[nxt : nxt + 1] in ("|", "&") and self.t[nxt : nxt + 2] not in ("||", "&&"):
                 at = nxt
                 continue
-            return at
+            # A type ends here, and with it those it is the last part of.
+            while waits:
+                wait = waits.pop()
+                if wait == "extends" and self.t.startswith("?", nxt):
+                    waits.append("?")
+                    at = nxt + 1
+                    break
+                if wait == "?":
+                    if not self.t.startswith(":", nxt):
+                        return -1
+                    at = nxt + 1  # the last branch is a type like any other
+                    break
+            else:
+                return at
+
+    def generic(self, at: int) -> re.Match | None:
+        """The match of a type argument list before a call; a failed look holds for the whole stretch it went over."""
+        if at < self.no_generic:
+            return None
+        m = _LOOK_11.match(self.t, at)
+        if not m:
+            self.no_generic = _GENERIC_STRETCH.match(self.t, at + 1).end()
+        return m
 
     def inner(self, a: int, b: int, spread: bool = False) -> None:
         """Lex the expression between a and b as a sequence of its own."""
@@ -555,7 +573,7 @@ class _Script:
                 at = m.end()
                 continue
             if c == "<":
-                if ts and (m := _LOOK_11.match(t, at)) and (prev in ("NAME", "function", "PL", "=", ",", "=>", "return", "MOD", "async", "START") or class_head):
+                if ts and (m := self.generic(at)) and (prev in ("NAME", "function", "PL", "=", ",", "=>", "return", "MOD", "async", "START") or class_head):
                     e = self.balanced(at, True)
                     if e > 0 and t[self.gap(e)[0] : self.gap(e)[0] + 1] == "(":
                         put("GEN")

@@ -225,6 +225,8 @@ def _parameters(window: str) -> bool:
     return kinds is not None and _PARAMETERS.fullmatch(kinds) is not None
 
 
+#: Fixed value: brackets inside one another that Python takes.
+MOST_DEPTH = 200
 _LAMBDA = re.compile(r"L([^:L]*):")
 _INNER = re.compile(r"([(\[{])([^()\[\]{}]*)[)\]}]")
 _SOFT_NAMES = str.maketrans("mky", "nnn")
@@ -271,11 +273,12 @@ def _roles(kind: str, window: str) -> str:
 
 def _inside(line: str) -> str:
     """The line with every pair of brackets reduced to a letter, innermost windows first."""
-    while True:
+    for _ in range(MOST_DEPTH):
         shorter = _INNER.sub(lambda m: _roles(m.group(1), m.group(2)), line)
         if shorter == line:
-            return line
+            break
         line = shorter
+    return line  # with brackets left in it, it is no statement
 
 
 def is_statement(line: str) -> bool:

@@ -114,8 +114,11 @@ def _joined(text: str, end: int) -> list[tuple[int, int]]:
 
 def find_secrets(text: str, suffix: str = "") -> list[tuple[int, int, str]]:
     """(start, end, kind) of the secret values in a file, in order, without overlaps."""
-    low, found, seen = text.lower(), [], set()
+    low, found, seen, done, counted = text.lower(), [], set(), 0, 0
     for hit in _ANCHOR.finditer(low):
+        done, counted = max([done, *(b for _, b, _ in found[counted:])]), len(found)
+        if hit.start() < done:  # inside a value that goes as a whole
+            continue
         if hit.lastgroup == "name":
             whole = _WORD.search(text, max(0, text.rfind(" ", 0, hit.start()) + 1, hit.start() - 60), hit.end() + 60)
             while whole and whole.end() < hit.end():

@@ -3,6 +3,7 @@
 import ast
 import random
 import re
+import time
 import warnings
 
 from srcloom.llm import lexers, syntax
@@ -104,3 +105,14 @@ def test_deep_nesting_needs_no_recursion():
     assert not wrong_script("x = " + "`${" * 1000 + "1" + "}`" * 1000, "ts")
     assert not wrong_script("type X = " + "() => " * 3000 + "void", "ts")
     assert wrong_script("x = " + "<a>" * 3000 + "</a>" * 2999, "jsx")
+    assert not wrong_script("type X = " + "A extends B ? " * 2000 + "C" + " : D" * 2000, "ts")
+    assert wrong_script("type X = " + "A extends B ? " * 2000 + "C" + " : D" * 1999, "ts")
+
+
+def test_odd_texts_take_no_longer_than_others():
+    began = time.process_time()
+    assert wrong_python("{" * 20_000 + "}" * 20_000) is not None and wrong_python("(" * 150 + ")" * 150) is None
+    assert wrong_script("a<" * 20_000, "ts")
+    for text in ("(" * 20_000, '"""' * 5001, 'f"{' * 3000, "`${" * 5000, "/*" * 20_000, "@" * 20_000, "\\\n" * 20_000, "<a " * 20_000):
+        wrong_python(text), wrong_script(text, "tsx")
+    assert time.process_time() - began < 20
