@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,64 @@ def test_links_are_verified_on_shingles(spark):
     assert {r.id: r.family for r in provenance.families(files).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def shuffled(spark):
+    """MB that this session has shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+def test_pairs_of_a_large_bucket_take_no_room(spark):
+    rng = np.random.default_rng(8)
+    a, common, rows = rng.integers(0, 1 << 32, 64, dtype=np.uint32), rng.integers(0, 1 << 32, 240), []
+    for k in range(300):  # 0.75 of the slots agree, 0.67 of the shingles
+        s = a.copy()
+        s[48:] = rng.integers(0, 1 << 32, 16)
+        rows.append((k, s, np.append(common, rng.integers(0, 1 << 32, 60))))
+    near = [(1000 + k, s, np.append(g[:-9], rng.integers(0, 1 << 32, 9))) for k, s, g in [(k, s ^ np.uint32(1) * (np.arange(64) == 63), g) for k, s, g in rows[:40]]]
+    files = sketched(spark, [*rows, *near]).localCheckpoint()
+    before, threshold = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: r.family for r in provenance.families(files).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {k: k % 1000 for k, _, _ in [*rows, *near]}
+    assert shuffled(spark) - before < 4 * 340 * (64 * 5 + 300 * 4 + 16 * 8) / 1e6
+
+
+@pytest.mark.parametrize("size", [9, 26])
+def test_links_among_more_pairs_than_files(spark, size):
+    s = np.random.default_rng(9).integers(0, 1 << 32, 64, dtype=np.uint32)
+    # All values lie in one part, so that all pairs are compared; those of neighbours are alike at 0.82, the next at 0.67.
+    rows = [(far + k, s ^ np.uint32(1 + far + k) * (np.arange(64) == 63), 512 * (np.arange(100) + 10 * k + 1000 * far)) for far in (0, 100) for k in range(size)]
+    got = {r.id: r.family for r in provenance.families(sketched(spark, rows)).collect()}
+    assert got == {k: k // 100 * 100 for k, _, _ in rows}
+
+
+def test_all_pairs_of_a_group_are_compared(monkeypatch):
+    monkeypatch.setattr(provenance, "TILE", 16)
+    rng, rows, sets = np.random.default_rng(10), [], {}
+    for group, size in enumerate((1, 3, 48, 49, 130, 2, 90)):
+        bases = [rng.choice(1 << 32, int(rng.integers(5, 900)), replace=False) for _ in range(4)]
+        for k in range(size):
+            x = bases[k % 4]
+            x = np.append(x[rng.random(len(x)) > 0.08], rng.integers(0, 1 << 32, int(len(x) * 0.04)))
+            sets[len(sets)] = np.unique(x.astype(np.uint32))
+            rows.append((group, group % 3 if size == 90 else 0, 2 if size != 90 else k % 2, len(sets) - 1))
+    made = pa.concat_batches(list(provenance._parities([pa.RecordBatch.from_pydict({"id": list(sets), "shingles": [x.tobytes() for x in sets.values()], "bands": [[0]] * len(sets)})])))
+    n, odd = made["n"].to_pylist(), made["odd"].to_pylist()
+    rows.sort(key=lambda r: (r[0], r[1], n[r[3]]))
+    table = pa.RecordBatch.from_pydict({"band": [r[0] for r in rows], "part": [r[1] for r in rows], "side": [r[2] for r in rows], "id": [r[3] for r in rows], "n": [n[r[3]] for r in rows], "odd": [odd[r[3]] for r in rows]})
+    alike = lambda a, b: (c := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - c) >= provenance.SIMILAR
+    want = {(min(a[3], b[3]), max(a[3], b[3])) for i, a in enumerate(rows) for b in rows[:i] if a[:2] == b[:2] and (a[2] == 2 or a[2] != b[2]) and alike(a[3], b[3])}
+    for step in (1, 7, 50, 1000):
+        got = [tuple(p) for b in provenance._alike(table.slice(k, step) for k in range(0, len(rows), step)) for p in zip(*b.to_pydict().values(), strict=True)]
+        assert len(got) == len(set(got)) and want <= set(got) and len(want) > 500
+        assert {p for p in got if alike(*p)} == want
+
+
 def test_families_join_copies(spark):
     base = "def f(a):\n" + "".join(f"    if a == {i}:\n        return g({i}, [a])\n" for i in range(30))
     files = {f"d{i}/x.py": base.replace("a ==", f"v{i} ==") for i in range(6)} | {"other.py": "import os\n\nprint(os.getcwd(), [x for x in range(10) if x % 2])\n" * 6}
